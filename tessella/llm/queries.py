@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.llm.mixing import mix
 from tessella.llm.packing import pack
 from tessella.llm.session import fresh_path
 from tessella.llm.token_files import read_token_files, write_token_files
@@ -33,8 +34,13 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, uri, with_ids=False)
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
+    "op10_mixing": op10_mixing,
     "op7_token_files": op7_token_files,
 }
 ORACLE_SQL: dict[str, str] = {}
