@@ -101,11 +101,10 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer_path: str, end_id: in
         .repartitionById(len(upper) + 1, F.col(BUCKET))
         .sortWithinPartitions("doc_id", "text")
         .mapInArrow(write, "bucket int, name string, n_docs long, n_tokens long")
-        .orderBy("bucket")
-        .collect()  # one row for each shard
+        .collect()  # one row for each shard; a sort in the plan would run the encoder twice, once for its sample
     )
     base, listed = 0, []
-    for shard in shards:
+    for shard in sorted(shards, key=lambda x: x["bucket"]):
         listed.append({"name": shard["name"], "n_docs": shard["n_docs"], "n_tokens": shard["n_tokens"], "base": base})
         base += shard["n_tokens"]
     manifest = {"dtype": kind, "end_id": end_id, "n_tokens": base, "shards": listed}
