@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessella.llm.fingerprints import next_and_edited
 from tessella.llm.mixing import mix
 from tessella.llm.packing import pack
 from tessella.llm.session import fresh_path
 from tessella.llm.token_files import read_token_files, write_token_files
+from tessella.llm.toxicity import scored, train
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -39,6 +41,18 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, uri, with_ids=False)
 
 
+def remainder(divisor: int) -> Column:
+    """crc32 of doc_id as text, modulo ``divisor``; a null doc_id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % divisor
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels").filter(remainder(5) != 0))
+    found = scored(docs.select("doc_id", "text"), model).withColumn("held_out", remainder(5) == 0)
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -46,6 +60,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op4_packing": op4_packing,
+    "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
     "op7_token_files": op7_token_files,
 }
