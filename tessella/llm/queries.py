@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessella.llm.fingerprints import next_and_edited
 from tessella.llm.mixing import mix
 from tessella.llm.packing import pack
+from tessella.llm.secrets import digest, learn, scan
 from tessella.llm.session import fresh_path
 from tessella.llm.token_files import read_token_files, write_token_files
 from tessella.llm.toxicity import scored, train
@@ -41,6 +42,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, uri, with_ids=False)
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(scan(table(spark, sf_dir, "documents"), learn()))
+
+
 def remainder(divisor: int) -> Column:
     """crc32 of doc_id as text, modulo ``divisor``; a null doc_id counts as empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % divisor
@@ -60,6 +65,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op4_packing": op4_packing,
+    "op8_secrets": op8_secrets,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
     "op7_token_files": op7_token_files,
