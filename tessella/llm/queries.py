@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm import oracles
 from tessella.llm.fingerprints import next_and_edited
 from tessella.llm.mixing import mix
 from tessella.llm.packing import pack
 from tessella.llm.secrets import digest, learn, scan
 from tessella.llm.session import fresh_path
 from tessella.llm.token_files import read_token_files, write_token_files
+from tessella.llm.topk import top_k
 from tessella.llm.toxicity import scored, train
 
 VOCABULARY = "word_bpe_49k.json"
@@ -32,6 +34,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return next_and_edited(table(spark, sf_dir, "documents"))
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
@@ -64,10 +70,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_top_k": op2_top_k,
     "op4_packing": op4_packing,
     "op8_secrets": op8_secrets,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
     "op7_token_files": op7_token_files,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_top_k": oracles.TOP_K,
+}
