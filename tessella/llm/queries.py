@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import oracles
 from tessella.llm.fingerprints import next_and_edited
+from tessella.llm.jaccard import near_duplicates
 from tessella.llm.mixing import mix
 from tessella.llm.packing import pack
 from tessella.llm.secrets import digest, learn, scan
@@ -38,6 +39,10 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
@@ -71,6 +76,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_top_k": op2_top_k,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_packing": op4_packing,
     "op8_secrets": op8_secrets,
     "op9_toxicity": op9_toxicity,
