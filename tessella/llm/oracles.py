@@ -14,3 +14,83 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+PREFERENCES = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         count(*) OVER (PARTITION BY conv_id) AS n
+  FROM conversations WHERE conv_id IS NOT NULL
+), sides AS (
+  SELECT conv_id, 'chosen' AS side, i, role, text FROM t
+  UNION ALL SELECT conv_id, 'rejected', i, role, text FROM t WHERE i < n
+  UNION ALL SELECT c.conv_id, 'rejected', c.n, o.role, o.text
+    FROM (SELECT DISTINCT conv_id, n FROM t) AS c JOIN t AS o ON o.conv_id = xor(c.conv_id, 1) AND o.i = o.n
+), apart AS (
+  SELECT a.conv_id, min(a.i) AS i FROM (SELECT * FROM sides WHERE side = 'chosen') AS a
+  LEFT JOIN (SELECT * FROM sides WHERE side = 'rejected') AS b ON a.conv_id = b.conv_id AND a.i = b.i AND a.role = b.role AND a.text = b.text
+  WHERE b.i IS NULL GROUP BY a.conv_id
+), p AS (
+  SELECT s.*, coalesce(a.i, 1000000000) AS first, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS r
+  FROM sides AS s LEFT JOIN apart AS a ON s.conv_id = a.conv_id
+), q AS (
+  SELECT *, sum(length(r)) OVER (PARTITION BY conv_id, side ORDER BY i) - length(r) + length(role) + 5 AS begin FROM p WHERE i >= first
+), done AS (
+  SELECT conv_id, side, sha256(string_agg(r, '' ORDER BY i)) AS sha,
+         coalesce(string_agg(begin || ':' || (begin + length(text) + 7), ',' ORDER BY i) FILTER (WHERE role = 'assistant'), '') AS learned
+  FROM q GROUP BY conv_id, side
+), sizes AS (
+  SELECT conv_id, count(*) FILTER (WHERE side = 'chosen') AS chosen_turns, count(*) FILTER (WHERE side = 'rejected') AS rejected_turns,
+         count(*) FILTER (WHERE side = 'chosen' AND i < first) AS common_turns,
+         sha256(coalesce(string_agg(r, '' ORDER BY i) FILTER (WHERE side = 'chosen' AND i < first), '')) AS prompt_sha256
+  FROM p GROUP BY conv_id
+)
+SELECT s.conv_id, chosen_turns, rejected_turns, common_turns, prompt_sha256,
+       coalesce(c.sha, sha256('')) AS chosen_sha256, coalesce(c.learned, '') AS chosen_learned,
+       coalesce(d.sha, sha256('')) AS rejected_sha256, coalesce(d.learned, '') AS rejected_learned
+FROM sizes AS s LEFT JOIN done AS c ON c.conv_id = s.conv_id AND c.side = 'chosen'
+LEFT JOIN done AS d ON d.conv_id = s.conv_id AND d.side = 'rejected'
+"""
+
+_N = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
+
+MIXING = rf"""
+WITH docs AS (
+  SELECT doc_id, source, CAST({_N} AS BIGINT) AS size, md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), total AS (SELECT coalesce(sum(size), 0) AS n FROM docs),
+block AS (SELECT n, least(1024, greatest(16, n // 50000)) AS b, CAST(floor(n * 1.5 / least(1024, greatest(16, n // 50000)) + 0.5) AS BIGINT) AS house FROM total),
+s1 AS (
+  SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS src FROM docs GROUP BY source
+), s2 AS (SELECT *, CASE (src - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, 2 * source_size AS cap FROM s1),
+s3 AS (
+  SELECT *, (1.5 * sum(source_size) OVER () - sum(cap) OVER w + cap)::DOUBLE / (sum(weight) OVER () - sum(weight) OVER w + weight) AS level
+  FROM s2 WINDOW w AS (ORDER BY cap::DOUBLE / weight, src)
+), sources AS (SELECT source, src, source_size, least(cap::DOUBLE, weight * max(level) OVER ()) AS target FROM s3),
+q1 AS (
+  SELECT src, k, target / (2 * k + 1) AS quotient FROM sources, block, range(0, CAST(house AS BIGINT)) AS r(k)
+  WHERE target > 0 AND k <= 2 * source_size // b + 1
+), seats AS (
+  SELECT src, count(*) AS blocks FROM (SELECT src, row_number() OVER (ORDER BY quotient DESC, src) AS p FROM q1), block WHERE p <= house GROUP BY src
+), placed AS (
+  SELECT d.*, s.src, s.source_size, s.target,
+         CAST(('0x' || substr(h, 1, 8)) AS BIGINT) % least(4096, greatest(1, CAST(ceil(source_size / 262144.0) AS BIGINT))) AS shard
+  FROM docs AS d JOIN sources AS s ON d.source IS NOT DISTINCT FROM s.source
+), put AS (
+  SELECT *, sum(size) OVER (PARTITION BY src, shard ORDER BY h, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS before FROM placed
+), shards AS (
+  SELECT p.src, shard, sum(size) AS words, greatest(1, CAST(round(sum(size) / b::DOUBLE) AS BIGINT)) AS n, any_value(blocks) AS blocks
+  FROM placed AS p JOIN seats USING (src), block GROUP BY p.src, shard, b HAVING sum(size) > 0
+), q2 AS (
+  SELECT src, shard, row_number() OVER (PARTITION BY src ORDER BY words::DOUBLE / (2 * k + 1) DESC, shard) AS p, blocks
+  FROM shards, range(0, 1000000) AS r(k) WHERE k <= 2 * n + 2
+), won AS (SELECT src, shard, count(*) AS got FROM q2 WHERE p <= blocks GROUP BY src, shard),
+units AS (
+  SELECT s.src, s.shard, s.words, s.n, least(coalesce(got, 0), 2 * s.n) AS q, i,
+         row_number() OVER (PARTITION BY s.src, s.shard ORDER BY md5('mix-1|' || s.src || '|' || s.shard || '|' || i), i) AS place
+  FROM shards AS s LEFT JOIN won AS w ON s.src = w.src AND s.shard = w.shard, range(0, 1000000) AS r(i) WHERE i < s.n
+), cut AS (SELECT src, shard, i * words // n AS lo, (i + 1) * words // n AS hi, q // n + CASE WHEN place <= q % n THEN 1 ELSE 0 END AS times FROM units)
+SELECT p.doc_id, p.size, CAST(p.source_size AS BIGINT) AS source_size, p.target,
+       CAST(coalesce((SELECT sum(times * (least(hi, p.before + p.size) - greatest(lo, p.before))) FROM cut AS c
+         WHERE c.src = p.src AND c.shard = p.shard AND c.lo < p.before + p.size AND c.hi > p.before), 0) AS BIGINT) AS taken
+FROM put AS p
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import oracles
+from tessella.llm import chat, oracles
 from tessella.llm.fingerprints import next_and_edited
 from tessella.llm.jaccard import near_duplicates
 from tessella.llm.mixing import mix
@@ -47,6 +47,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.preferences(chat.last_turn_pairs(table(spark, sf_dir, "conversations"))))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = fresh_path(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), uri, tokenizer_path(), end_id=1)
@@ -81,8 +85,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op5_preferences": op5_preferences,
     "op7_token_files": op7_token_files,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_top_k": oracles.TOP_K,
+    "op5_preferences": oracles.PREFERENCES,
+    "op10_mixing": oracles.MIXING,
 }
