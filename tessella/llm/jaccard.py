@@ -370,9 +370,16 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the documents that have a smaller doc_id in their class; documents of no words all stay.
+    """``docs`` with one document of each class, that of least doc_id, and all documents without words.
 
-    Rows that repeat the doc_id that names a class all stay, as they can't be told apart by it.
+    Rows that share a doc_id are told apart by their text: of equal ones one stays. Rows with null doc_id can't
+    be named by a class and stay, once for each text.
     """
-    found = near_duplicates(docs, width, percent).filter("component_id is null or component_id <> doc_id").select(F.col("doc_id").alias("gone"))
-    return docs.join(found.filter("gone is not null").distinct(), F.col("doc_id") == F.col("gone"), "left_anti")
+    found = written(near_duplicates(docs, width, percent).select("doc_id", "component_id"), "jaccard-classes")
+    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    many = found.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select(F.col("doc_id").alias("__many"))
+    if many.isEmpty():
+        return kept
+    alone = kept.join(many, F.col("doc_id").eqNullSafe(F.col("__many")), "left_anti")
+    return alone.union(kept.join(many, F.col("doc_id").eqNullSafe(F.col("__many")), "left_semi").dropDuplicates(["doc_id", "text"]))

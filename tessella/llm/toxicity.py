@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.session import small_batches, written
@@ -233,13 +233,24 @@ def _lists(model: Model, texts: pa.Array) -> list[list[int]]:
     return out
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (text and others) with a column ``score``, a row for each row."""
-    small_batches(docs.sparkSession)
+def score_column(text: Column, model: Model) -> Column:
+    """Score of each text, as a column."""
     hashes, weights, intercept = model.hashes, model.weights, model.intercept
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         return pa.array(Model(hashes, weights, intercept).scores(texts))
 
-    return docs.withColumn("score", score(F.col("text").cast("string")))
+    return score(text.cast("string"))
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` (text and others) with a column ``score``, a row for each row."""
+    small_batches(docs.sparkSession)
+    return docs.withColumn("score", score_column(F.col("text"), model))
+
+
+def clean(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """``docs`` without the rows whose score is ``least`` or more."""
+    small_batches(docs.sparkSession)
+    return docs.filter(score_column(F.col("text"), model) < least)
