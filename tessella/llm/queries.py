@@ -12,6 +12,7 @@ from tessella.llm.fingerprints import next_and_edited
 from tessella.llm.jaccard import near_duplicates
 from tessella.llm.mixing import mix
 from tessella.llm.packing import pack
+from tessella.llm.scoring import score
 from tessella.llm.secrets import digest, learn, scan
 from tessella.llm.session import fresh_path
 from tessella.llm.token_files import read_token_files, write_token_files
@@ -51,6 +52,11 @@ def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.preferences(chat.last_turn_pairs(table(spark, sf_dir, "conversations"))))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = score(table(spark, sf_dir, "documents"), remainder(10) != 0, tokenizer_path("byte_bpe_50k.json"))
+    return found.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = fresh_path(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), uri, tokenizer_path(), end_id=1)
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
     "op5_preferences": op5_preferences,
+    "op6_lm_scores": op6_lm_scores,
     "op7_token_files": op7_token_files,
 }
 ORACLE_SQL: dict[str, str] = {

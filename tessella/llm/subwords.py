@@ -84,17 +84,21 @@ class SubwordEncoder:
         last = full.copy()
         last[:-1] &= ~full[1:] | first[1:]
         end = np.flatnonzero(last) + 1
-        data = np.where(uncut, data, LOWER[data])
-        hashes = span_hashes(data, begin, end) ^ uncut[begin].astype(U64)
+        data, mark = self._canonical(data, uncut, chunk, begin)
+        hashes = span_hashes(data, begin, end) ^ mark
         met, one, which = np.unique(hashes, return_index=True, return_inverse=True)
-        at = self._find(met, one, data, begin, end, uncut)
+        at = self._find(met, data, begin[one], end[one], mark[one])
         start, length = self.begin[at][which], self.length[at][which]
         before = np.zeros(len(length) + 1, np.int64)
         np.cumsum(length, out=before[1:])
         ids = self.pool[np.repeat(start - before[:-1], length) + np.arange(before[-1])]
         return ids, before[np.searchsorted(begin, rows)]
 
-    def _find(self, met, one, data, begin, end, uncut) -> np.ndarray:
+    def _canonical(self, data, uncut, chunk, begin) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that decide a piece's ids, and for each piece what else decides them."""
+        return np.where(uncut, data, LOWER[data]), uncut[begin].astype(U64)
+
+    def _find(self, met, data, begin, end, mark) -> np.ndarray:
         """Places of the hashes ``met`` among the keys, after encoding those not met before."""
         if len(self.pool) > CACHED_IDS:
             self._forget()
@@ -105,12 +109,24 @@ class SubwordEncoder:
         if known.all():
             return at
         new = np.flatnonzero(~known)
-        plain = ~uncut[begin[one[new]]]
-        raw = data.tobytes()
-        groups = np.split(new[plain], range(JOINED, int(plain.sum()), JOINED)) if plain.any() else []
-        order, ids, lengths, alone = [], [], [], [new[~plain]]
-        texts = [b" ".join([raw[i:j] for i, j in zip(begin[one[g]], end[one[g]], strict=True)]) for g in groups]
-        texts = [x.decode("utf-8", "replace") for x in texts]
+        order, ids, lengths = self._encode(data.tobytes(), begin[new], end[new], mark[new])
+        order = new[order]
+        length = np.concatenate(lengths).astype(np.int64)
+        start = len(self.pool) + np.cumsum(length) - length
+        self.pool = np.concatenate([self.pool, *ids]).astype(np.uint32)
+        keys = np.concatenate([self.keys, met[order]])
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.begin = np.concatenate([self.begin, start])[order]
+        self.length = np.concatenate([self.length, length])[order]
+        return np.searchsorted(self.keys, met)
+
+    def _encode(self, raw: bytes, begin, end, mark) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """In the order returned: all pieces' ids, and how many each has."""
+        plain = np.flatnonzero(mark == 0)
+        groups = np.split(plain, range(JOINED, len(plain), JOINED)) if len(plain) else []
+        order, ids, lengths, alone = [], [], [], [np.flatnonzero(mark)]
+        texts = [b" ".join([raw[i:j] for i, j in zip(begin[g], end[g], strict=True)]).decode("utf-8", "replace") for g in groups]
         for g, got in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             found = np.array(got.ids, np.uint32)
             ends = np.flatnonzero(self.ends[found]) + 1
@@ -121,26 +137,38 @@ class SubwordEncoder:
             else:
                 alone.append(g)
         order += alone
-        texts = [raw[begin[i] : end[i]].decode("utf-8", "replace") for i in one[np.concatenate(alone)]]
+        alone = np.concatenate(alone)
+        texts = [raw[i:j].decode("utf-8", "replace") for i, j in zip(begin[alone], end[alone], strict=True)]
         for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             ids.append(np.array(got.ids, np.uint32))
             lengths.append(np.array([len(got.ids)]))
-        length = np.concatenate(lengths).astype(np.int64)
-        start = len(self.pool) + np.cumsum(length) - length
-        self.pool = np.concatenate([self.pool, *ids]).astype(np.uint32)
-        keys = np.concatenate([self.keys, met[np.concatenate(order)]])
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.begin = np.concatenate([self.begin, start])[order]
-        self.length = np.concatenate([self.length, length])[order]
-        return np.searchsorted(self.keys, met)
+        return np.concatenate(order), ids, lengths
+
+
+class WordEncoder(SubwordEncoder):
+    """Ids of a byte-level vocabulary, word by word, A-Z lowered: different sequences of words have different ids.
+
+    A piece that begins a word is encoded with a space before it, any other by itself.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.tokenizer.encode_special_tokens = True
+
+    def _canonical(self, data, uncut, chunk, begin) -> tuple[np.ndarray, np.ndarray]:
+        return LOWER[data], chunk[begin].astype(U64)
+
+    def _encode(self, raw: bytes, begin, end, mark) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        texts = [" " * int(m) + raw[i:j].decode("utf-8", "replace") for i, j, m in zip(begin, end, mark, strict=True)]
+        found = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.arange(len(texts)), found, [np.array([len(x) for x in found], np.int64)]
 
 
-_encoders: dict[str, SubwordEncoder] = {}
+_encoders: dict[tuple[str, type], SubwordEncoder] = {}
 
 
-def encoder(path: str) -> SubwordEncoder:
-    """One encoder for each path and Python worker."""
-    if path not in _encoders:
-        _encoders[path] = SubwordEncoder(path)
-    return _encoders[path]
+def encoder(path: str, kind: type = SubwordEncoder) -> SubwordEncoder:
+    """One encoder for each path, kind and Python worker."""
+    if (path, kind) not in _encoders:
+        _encoders[path, kind] = kind(path)
+    return _encoders[path, kind]
