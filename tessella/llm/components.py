@@ -16,7 +16,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Hangs every larger neighbour of a node on the least of the node and its neighbours."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = _least(both).withColumn("m", F.least("u", "m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -25,13 +25,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hung.select("u", F.col("m").alias("v")).union(hung.select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (its least node) for every node of the undirected ``edges`` (a, b), numbers; loops count for nothing."""
+def components(edges: DataFrame, parts: int) -> DataFrame:
+    """node, component (its least node) for every node of the undirected ``edges`` (a, b), numbers; loops count for nothing.
+
+    ``parts``: in how many partitions the edges are kept between steps; small graphs make few files.
+    """
     shared_dir(edges.sparkSession)
-    now = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    now = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().coalesce(parts).checkpoint()
     seen = None
     while True:
-        now = _small_star(_large_star(now)).checkpoint()
+        now = _small_star(_large_star(now)).coalesce(parts).checkpoint()
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).head()
         if state == seen:
             break

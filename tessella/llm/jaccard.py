@@ -18,7 +18,8 @@ A document is the set of its distinct 5-word shingles (64-bit hashes). Two sets
 5.  *Links, not pairs.* Only links between components matter, so lists are first tried as stars: each group's
     first member with its others, each list's first group with the others, then some more such centres. Sets
     already connected are never compared again: thousands of near copies cost a few comparisons each. A last
-    round compares all that are still apart in the lists, so no link is lost.
+    round compares all that are still apart in the lists, each pair where it meets first and only if what
+    it shares in the prefixes leaves a link possible, so no link is lost.
 
 Null or empty text, and text without words, is the empty set: size 0, linked with nothing. Null doc_id is
 carried; a class is named by its least doc_id that isn't null. Repeated rows are one set and each a row of the
@@ -45,7 +46,8 @@ CHUNK = 4096
 HOT = 1 / 256
 BUCKET_BYTES = 8 << 20
 STARS = (1, 16, 256)
-SPARE = 32
+SPARE = 8
+PART_SETS = 4096
 SHORT = U64(16)
 
 
@@ -54,7 +56,7 @@ def set_hashes(sets: list[np.ndarray], seed: int) -> tuple[np.ndarray, np.ndarra
     out = np.zeros((2, len(sets)), U64)
     for i, x in enumerate(sets):
         for j in (0, 1):
-            out[j, i] = mix(x + U64(2 * seed + j + 1) * U64(0x9E3779B97F4A7C15)).sum(dtype=U64)
+            out[j, i] = mix(x + U64((2 * seed + j + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).sum(dtype=U64)
     sizes = np.array([len(x) for x in sets], U64)
     return mix(out[0] + sizes), mix(out[1] ^ sizes)
 
@@ -285,15 +287,25 @@ def _near(percent: int):
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
 
 
+def _first_meeting(percent: int):
+    """Condition on a pair of groups with prefixes p, r that meet in the list of ``token``: it is the first shingle they share, and what
+    they share in their prefixes, with all that can follow the last of it, is enough."""
+    both = "array_intersect(p, r)"
+    after = lambda size, own, prefix: f"{size} - {own} - array_position({prefix}, element_at({both}, -1))"
+    most = f"size({both}) + least({after('n', 'own', 'p')}, {after('m', 'others', 'r')})"
+    return F.expr(f"element_at({both}, 1) = token and {100 + percent} * ({most}) >= {percent} * (n + m)")
+
+
 def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """set, class for the ``sets`` (set, n, own, p, tokens) that link with another."""
     spark = sets.sparkSession
     shared_dir(spark)
+    parts = max(1, math.ceil(sets.count() / PART_SETS))
+    kept = lambda frame: frame.coalesce(parts).checkpoint()
     prefix = sets.select("set", "n", "own", F.slice("tokens", 1, F.col("p")).alias("prefix"))
-    groups = prefix.groupBy("n", "own", "prefix").agg(F.min("set").alias("g"))
-    members = prefix.join(groups, ["n", "own", "prefix"]).select("set", "g").checkpoint()
+    groups = kept(prefix.groupBy("n", "own", "prefix").agg(F.min("set").alias("g")))
+    members = kept(prefix.join(groups, ["n", "own", "prefix"]).select("set", "g"))
     lists = groups.select("g", "n", "own", F.posexplode("prefix").alias("i", "token")).select("g", "n", "token", (F.col("i") + F.col("own")).alias("i"))
-    lists = written(lists, "jaccard-lists")
     classes = None  # set, class: of those linked so far
 
     def known(frame: DataFrame, column: str, name: str) -> DataFrame:
@@ -305,12 +317,12 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     def join_up(pairs: DataFrame) -> DataFrame:
         """Classes after the links among ``pairs``."""
         new = known(known(_verified(pairs, sets, percent), "a", "x"), "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        stars = components(new).select(F.col("node").alias("old"), F.col("component").alias("new"))
+        stars = components(new, parts).select(F.col("node").alias("old"), F.col("component").alias("new"))
         if classes is None:
-            return stars.select(F.col("old").alias("set"), F.col("new").alias("class")).checkpoint()
+            return kept(stars.select(F.col("old").alias("set"), F.col("new").alias("class")))
         moved = classes.join(stars, classes["class"] == stars["old"], "left").select("set", F.coalesce("new", "class").alias("class"))
         fresh = stars.join(classes.select(F.col("set").alias("old")), "old", "left_anti").select(F.col("old").alias("set"), F.col("new").alias("class"))
-        return moved.union(fresh).checkpoint()
+        return kept(moved.union(fresh))
 
     def open_lists() -> DataFrame:
         """Lists with the class of each group (null: its members are of several), where more than one is left."""
@@ -319,7 +331,7 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         with_class = lists.join(of_groups, "g")
         apart = with_class.groupBy("token").agg(F.min("c").alias("c"), F.max("c").alias("d"), F.count_if(F.col("c").isNull()).alias("split"), F.count(F.lit(1)).alias("size"))
         apart = apart.filter("split > 0 or c <> d").select("token", "size")
-        return with_class.join(apart, "token").checkpoint()
+        return kept(with_class.join(apart, "token"))
 
     inside = members.filter("set <> g").select(F.col("g").alias("a"), F.col("set").alias("b"))
     postings = None
@@ -336,9 +348,10 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         pairs = pairs.select("a", F.col("g").alias("b"))
         pairs = (pairs.union(inside) if k == 1 else pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         classes = join_up(pairs)
-    now = open_lists()
-    other = now.select("token", F.col("g").alias("h"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("d"))
-    pairs = now.join(other, "token").filter("g < h or (g = h and c is null)").filter("c is null or d is null or c <> d").filter(_near(percent) | (F.col("g") == F.col("h"))).select("g", "h").distinct()
+        now = None
+    now = (now or open_lists()).join(groups.select("g", "own", F.col("prefix").alias("p")), "g")
+    other = now.select("token", F.col("g").alias("h"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("d"), F.col("own").alias("others"), F.col("p").alias("r"))
+    pairs = now.join(other, "token").filter("g < h or (g = h and c is null)").filter("c is null or d is null or c <> d").filter(_near(percent) & _first_meeting(percent)).select("g", "h")
     mine = known(members, "set", "x").select("g", F.col("set").alias("a"), "x")
     its = known(members, "set", "y").select(F.col("g").alias("h"), F.col("set").alias("b"), "y")
     pairs = pairs.join(mine, "g").join(its, "h").filter("x <> y and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
