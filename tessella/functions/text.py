@@ -77,7 +77,7 @@ def one_line(text: Column, most: int = 180) -> Column:
 
 
 def slug(text: Column) -> Column:
-    return F.trim(F.lit("-"), F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"))
+    return F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), F.lit("-"))
 
 
 def percent_encoded(text: Column) -> Column:
