@@ -183,17 +183,18 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     sizes = written(named.drop("row"), "mixing")
     # the same plan for the rows with their texts: keys and order are functions of the row
     full = plan(named, sizes, weights, share, most)
-    block_of = "cast(((before + {i} + 1) * n - 1) div words as int) + 1"
-    words = r"split(row.text, '(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])')"
-    lead = r"case when row.text rlike '^[\\x20\\x09-\\x0D]' then 1 else 0 end"
-    mine = f"slice(times, {block_of.format(i='0')}, {block_of.format(i='size - 1')} - ({block_of.format(i='0')}) + 1)"
-    cut = f"array_join(filter({words}, (w, i) -> i >= {lead} and element_at(times, {block_of.format(i=f'i - ({lead})')}) >= copy), '')"
-    text = F.expr(f"case when array_min({mine}) >= copy then row.text else {cut} end")
-    out = (
-        full.filter("taken > 0")
-        .withColumn("copy", F.explode(F.expr(f"sequence(1, cast(array_max({mine}) as int))")))
-        .withColumn("new_text", text)
-    )
+    first, last = (f"cast((({x}) * n - 1) div words as int)" for x in ("before + 1", "before + size"))
+    # the text as white space before its first word, if any, then words with the white space after them
+    parts = F.split(F.col("row.text"), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    lead = F.when(F.col("row.text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
+    low, high = "greatest(i * words div n - before, 0L)", "least((i + 1) * words div n - before, size)"
+    of_block = f"slice(parts, cast({low} as int) + 1 + lead, cast({high} - ({low}) as int))"
+    cut = F.expr(f"array_join(flatten(transform(filter(sequence(cast(first as bigint), cast(last as bigint)), i -> element_at(times, cast(i as int) + 1) >= copy), i -> {of_block})), '')")
+    mine = F.expr("slice(times, first + 1, last - first + 1)")
+    taken = full.filter("taken > 0").withColumns({"first": F.expr(first), "last": F.expr(last)}).withColumns({"most": F.array_max(mine), "least": F.array_min(mine)})
+    copies = taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("most").cast("int"))))
+    split = copies.withColumns({"lead": lead, "parts": F.when(F.col("copy") > F.col("least"), parts)})
+    out = split.withColumn("new_text", F.when(F.col("copy") <= F.col("least"), F.col("row.text")).otherwise(cut))
     fields = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast("long")}
     return out.select(*[fields.get(c, F.col("row").getField(c)).alias(c) for c in columns])
 
