@@ -389,10 +389,11 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     be named by a class and stay, once for each text.
     """
     found = written(near_duplicates(docs, width, percent).select("doc_id", "component_id"), "jaccard-classes")
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    many = found.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select(F.col("doc_id").alias("__many"))
-    if many.isEmpty():
-        return kept
-    alone = kept.join(many, F.col("doc_id").eqNullSafe(F.col("__many")), "left_anti")
-    return alone.union(kept.join(many, F.col("doc_id").eqNullSafe(F.col("__many")), "left_semi").dropDuplicates(["doc_id", "text"]))
+    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t"), F.struct(*docs.columns).alias("row"))
+    kept = rows.join(gone, F.col("id") == F.col("gone"), "left_anti")
+    many = found.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select(F.col("doc_id").alias("many"))
+    if not many.isEmpty():
+        same = F.col("id").eqNullSafe(F.col("many"))
+        kept = kept.join(many, same, "left_anti").union(kept.join(many, same, "left_semi").dropDuplicates(["id", "t"]))
+    return kept.select("row.*")

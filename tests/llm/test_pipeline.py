@@ -1,0 +1,23 @@
+"""The pipeline over the smallest tables, stage by stage."""
+
+import corpus_pipeline
+
+
+def test_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, held = docs.columns, docs
+    sizes = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        held = stage(spark, held, sf_dir).cache()
+        assert held.columns == columns
+        sizes.append(held.count())
+    n = docs.count()
+    assert 0 < sizes[1] <= sizes[0] <= n and sizes[2] == sizes[1] and sizes[3] > 0
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near copies", "secrets", "mixing", "packing"]
+
+
+def test_queries_are_registered():
+    import __spark_entry__
+
+    names = __spark_entry__.queries()
+    assert "pipeline" in names and all(any(x.startswith(f"op{n}_") for x in names) for n in range(1, 11))
