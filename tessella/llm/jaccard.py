@@ -18,8 +18,8 @@ A document is the set of its distinct 5-word shingles (64-bit hashes). Two sets
 5.  *Links, not pairs.* Only links between components matter, so lists are first tried as stars: each group's
     first member with its others, each list's first group with the others, then some more such centres. Sets
     already connected are never compared again: thousands of near copies cost a few comparisons each. A last
-    round compares all that are still apart in the lists, each pair where it meets first and only if what
-    it shares in the prefixes leaves a link possible, so no link is lost.
+    round compares all that are still apart in the lists if what they share in the prefixes leaves a link
+    possible, so no link is lost.
 
 Null or empty text, and text without words, is the empty set: size 0, linked with nothing. Null doc_id is
 carried; a class is named by its least doc_id that isn't null. Repeated rows are one set and each a row of the
@@ -287,13 +287,21 @@ def _near(percent: int):
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
 
 
-def _first_meeting(percent: int):
-    """Condition on a pair of groups with prefixes p, r that meet in the list of ``token``: it is the first shingle they share, and what
-    they share in their prefixes, with all that can follow the last of it, is enough."""
+def _enough(percent: int):
+    """Condition on a pair of groups with the prefixes p, r: what these share, with all that can follow the last of it, is enough for a link."""
     both = "array_intersect(p, r)"
     after = lambda size, own, prefix: f"{size} - {own} - array_position({prefix}, element_at({both}, -1))"
     most = f"size({both}) + least({after('n', 'own', 'p')}, {after('m', 'others', 'r')})"
-    return F.expr(f"element_at({both}, 1) = token and {100 + percent} * ({most}) >= {percent} * (n + m)")
+    return F.expr(f"size({both}) > 0 and {100 + percent} * ({most}) >= {percent} * (n + m)")
+
+
+def _unlike_lists(lists: DataFrame) -> DataFrame:
+    """Of lists with the same groups one, each group at its first place in any of them: near copies share hundreds of shingles,
+    and their lists would yield every pair as often."""
+    mark = lambda k: F.sum(F.xxhash64("g", F.lit(k)).cast("decimal(20,0)")).alias(f"mark{k}")
+    same = lists.groupBy("token").agg(mark(1), mark(2)).groupBy("mark1", "mark2").agg(F.collect_list("token").alias("tokens"))
+    same = same.select(F.array_min("tokens").alias("list"), F.explode("tokens").alias("token"))
+    return lists.join(same, "token").groupBy("list", "g").agg(F.min("i").alias("i"), F.first("n").alias("n"), F.first("c").alias("c"))
 
 
 def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -349,9 +357,11 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         pairs = (pairs.union(inside) if k == 1 else pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         classes = join_up(pairs)
         now = None
-    now = (now or open_lists()).join(groups.select("g", "own", F.col("prefix").alias("p")), "g")
-    other = now.select("token", F.col("g").alias("h"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("d"), F.col("own").alias("others"), F.col("p").alias("r"))
-    pairs = now.join(other, "token").filter("g < h or (g = h and c is null)").filter("c is null or d is null or c <> d").filter(_near(percent) & _first_meeting(percent)).select("g", "h")
+    now = kept(_unlike_lists(now or open_lists()))
+    other = now.select("list", F.col("g").alias("h"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("d"))
+    pairs = now.join(other, "list").filter("g < h or (g = h and c is null)").filter("c is null or d is null or c <> d").filter(_near(percent)).select("g", "h").distinct()
+    pairs = pairs.join(groups.select("g", "n", "own", F.col("prefix").alias("p")), "g")
+    pairs = pairs.join(groups.select(F.col("g").alias("h"), F.col("n").alias("m"), F.col("own").alias("others"), F.col("prefix").alias("r")), "h").filter(_enough(percent)).select("g", "h")
     mine = known(members, "set", "x").select("g", F.col("set").alias("a"), "x")
     its = known(members, "set", "y").select(F.col("g").alias("h"), F.col("set").alias("b"), "y")
     pairs = pairs.join(mine, "g").join(its, "h").filter("x <> y and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
