@@ -177,3 +177,11 @@ def node_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     p = table(spark, sf_dir, "pages").filter(F.col("url").rlike(r"^[A-Za-z0-9_.~:/?-]*\z"))
     return p.select("page_id", F.concat(F.lit("file:"), percent_encoded(F.col("url"))).alias("id"))
+
+
+@query("node_ids_all", """SELECT page_id, 'file:' || url_encode(url) AS id FROM pages""")
+def node_ids_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As node_ids, for every page."""
+    from tessella.functions.text import percent_encoded
+
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("file:"), percent_encoded(F.col("url"))).alias("id"))

@@ -134,3 +134,15 @@ def test_definition_rows_and_symbols(spark):
     found = graph.select_symbol(symbols, "f").collect()
     assert len(found) == 2 and all(r["ambiguous"] for r in found)
     assert [r["id"] for r in graph.select_symbol(symbols, "f", "n.py").collect()] == ["s2"]
+
+
+def test_every_page_has_a_node_id(spark, sf_dir):
+    from urllib.parse import quote
+
+    from tessella.registry import QUERIES, table
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url").collect()
+    want = {r["page_id"]: None if r["url"] is None else "file:" + quote(r["url"], safe="") for r in pages}
+    assert {r["page_id"]: r["id"] for r in QUERIES["node_ids_all"](spark, sf_dir).collect()} == want
+    odd = "a=1&b#c%20+é~*☃😀"
+    assert one(spark, t.percent_encoded(F.lit(odd))) == quote(odd, safe="")
