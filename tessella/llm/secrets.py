@@ -8,8 +8,10 @@ outgoing and ending frequencies agree within Hoeffding's bound, for all that fol
 blue ones, next to them, are merged into the first compatible red or become red). Symbols are the characters
 of the kind's common beginning, and classes of characters after it. One more automaton is inferred from
 labelled ordinary strings. Every longest run of credential characters that has a letter and a digit is a
-candidate, however long; it is a secret where the best format is more likely than ordinary text by
-``BITS`` bits, and no rule's span holds it already. Kinds of all learned spans read ``format``.
+candidate, however long or short; it is a secret where the best format is more likely than ordinary text by
+``BITS`` bits, and no rule's span holds it already. Lengths count by the automata's loops and end chances
+only. Ordinary text is one ordinary string or several, joined by ``JOINTS``, whichever is cheapest. Kinds of
+all learned spans read ``format``.
 
 Null text counts as empty and has no spans. Rows are independent: repeated rows, ties and other columns
 change nothing.
@@ -42,6 +44,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # as [0-9a-f]+ of 24 and more: a run matches
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "format")
 CANDIDATE = re.compile(r"[A-Za-z0-9][A-Za-z0-9+/_.-]{14,}[A-Za-z0-9]=*")
+JOINTS = "+/_.-"
 BITS = 24.0
 ALPHA = 0.05
 EXAMPLES = 300
@@ -127,9 +130,24 @@ class Automaton:
             total += cost + SPREAD.get(s, 0.0)
         return total + self.ends[state]
 
+    def joined_bits(self, text: str) -> float:
+        """Bits of the text as one or more of the automaton's strings with ``JOINTS`` between, cut where it is cheapest."""
+        at = {0: 0.0}
+        for c in text:
+            s, after = symbol(c), {}
+            for state, total in at.items():
+                to, cost = self.steps[state].get(s) or (state, self.misses[state])
+                after[to] = min(after.get(to, math.inf), total + cost + SPREAD.get(s, 0.0))
+            if c in JOINTS:
+                after[0] = min(after.get(0, math.inf), JOINT_BITS + min(total + self.ends[state] for state, total in at.items()))
+            at = after
+        return min(total + self.ends[state] for state, total in at.items())
+
 
 #: Bits of one character within its class.
 SPREAD = {"9": math.log2(10), "f": math.log2(6), "z": math.log2(20), "Z": math.log2(26)}
+#: Bits of which joint it is, and that a string follows.
+JOINT_BITS = math.log2(len(JOINTS)) + 1
 
 
 @dataclass
@@ -224,20 +242,18 @@ def infer(examples: list[str], alpha: float = ALPHA) -> Automaton:
 
 @dataclass
 class Formats:
-    """The automata, and the shortest and longest example of each."""
+    """The automata of the formats, and that of ordinary text."""
 
-    known: list[tuple[Automaton, int, int]]
+    known: list[Automaton]
     ordinary: Automaton
 
     def gain(self, text: str) -> float:
         """Bits by which the best fitting format explains the text better than ordinary text does."""
-        costs = [a.bits(text) for a, least, most in self.known if least <= len(text.rstrip("=")) <= 2 * most]
-        return self.ordinary.bits(text) - min(costs, default=math.inf)
+        return self.ordinary.joined_bits(text) - min((a.bits(text) for a in self.known), default=math.inf)
 
 
 def learn(credentials: dict[str, list[str]] | None = None, ordinary: list[str] | None = None, alpha: float = ALPHA) -> Formats:
-    credentials = credentials or labelled_credentials()
-    known = [(infer(x, alpha), min(map(len, x)), max(map(len, x))) for x in credentials.values() if x]
+    known = [infer(x, alpha) for x in (credentials or labelled_credentials()).values() if x]
     return Formats(known, infer([f"{x}" for x in ordinary or labelled_ordinary()], alpha))
 
 

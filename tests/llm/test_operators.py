@@ -371,6 +371,21 @@ def test_learned_formats_hold_out():
     assert secrets.redact(text, found) == "see [SECRET] here and password = '[SECRET]' too"
 
 
+def test_credentials_of_any_length():
+    formats = secrets.learn()
+    rng = random.Random(31)
+    some = lambda chars, n: "".join(rng.choices(chars, k=n))
+    web = lambda a, b, c: f"eyJ{some(secrets.ALNUM, a)}.eyJ{some(secrets.ALNUM, b)}.{some(secrets.URL64, c - 1)}x"
+    for token in [web(10, 20, 20), web(35, 300, 43), web(35, 5000, 342), "sk_live_" + some(secrets.ALNUM, 99), "sk_live_" + some(secrets.ALNUM, 16), "ghp_" + some(secrets.ALNUM, 255)]:
+        text = f"see {token} here"
+        found = secrets.spans(text, formats)
+        assert found == [("format", 4, 4 + len(token), 4)], token
+        assert secrets.redact(text, found) == "see [SECRET] here"
+    parts = secrets.labelled_ordinary(600, seed=321)
+    joined = [rng.choice("/-_.").join(parts[i : i + n]) for n in (2, 5, 20, 60) for i in range(0, 600, n)]
+    assert not [x for x in joined if formats.gain(x) >= secrets.BITS]
+
+
 def test_swaps_move_no_score():
     rng = random.Random(5)
     names = [line[0] for line in toxicity.IDENTITY]
