@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from tessella.llm import attention, chat, fingerprints, jaccard, mixing, packing, scoring, secrets, token_files, topk, toxicity
 from tessella.llm.queries import tokenizer_path
-from tessella.llm.subwords import encoder
+from tessella.llm.subwords import WordEncoder, encoder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -348,6 +348,31 @@ BASE = {
 }
 
 
+def test_training_reads_every_training_document(spark, monkeypatch):
+    e = encoder(tokenizer_path("byte_bpe_50k.json"), WordEncoder)
+    names = sorted(t[1:] for t in e.tokenizer.get_vocab() if t.startswith("Ġ") and re.fullmatch("[a-z]{5}", t[1:]))[:900]
+    made = [" ".join([x] * 4) for x in names]
+    seen, plain = [], scoring._scored
+    monkeypatch.setattr(scoring, "_scored", lambda table, words, p: seen.append((words, p)) or plain(table, words, p))
+    scoring.score(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"), F.lit(True), tokenizer_path("byte_bpe_50k.json"))
+    words, p = seen[0]
+    ids, at = e.encode(pa.array(made))
+    rows = np.unique(words.to_input[ids])
+    assert len(rows) > 500
+    moved = (p["token"] != attention.initial()["token"]).any(1)  # each document's own rows have no gradient but by it
+    assert moved[rows].all()
+
+
+def test_runs_hold_every_document(monkeypatch):
+    monkeypatch.setattr(scoring, "RUN_TOKENS", 1000)
+    rng = random.Random(3)
+    made = [np.arange(rng.randint(1, 90), dtype="<u4") + 100 * i for i in range(950)]
+    batches = [pa.RecordBatch.from_pydict({"ids": pa.array([x.tobytes() for x in made[i : i + n]], pa.binary())}) for i, n in ((0, 500), (500, 0), (500, 450))]
+    got = list(scoring._runs(iter(batches)))
+    assert len(got) > 2
+    assert np.array_equal(np.concatenate([x for x, _ in got]), np.concatenate(made)) and np.concatenate([n for _, n in got]).tolist() == list(map(len, made))
+
+
 def test_secret_rules_against_plain_patterns():
     rng = random.Random(9)
     parts = ["token", "Secret", " = ", ":", "'", '"', "AKIA", "A7", "0123456789abcdef", "xyz", " ", "é", "api_key", "\n", "=", "ſecret: abcdefgh", "passwd=short", "ghp_"]
