@@ -10,8 +10,9 @@ of the kind's common beginning, and classes of characters after it. One more aut
 labelled ordinary strings. Every longest run of credential characters that has a letter and a digit is a
 candidate, however long or short; it is a secret where the best format is more likely than ordinary text by
 ``BITS`` bits, and no rule's span holds it already. Lengths count by the automata's loops and end chances
-only. Ordinary text is one ordinary string or several, joined by ``JOINTS``, whichever is cheapest. Kinds of
-all learned spans read ``format``.
+only. Ordinary text is one ordinary string or several, joined by ``JOINTS``, whichever is cheapest. Of a run
+that is no secret as a whole, the rest from a format's beginning or from after a joint is one, where it has
+``LEAST_CHARS`` and the bits; of several the one with most bits. Kinds of all learned spans read ``format``.
 
 Null text counts as empty and has no spans. Rows are independent: repeated rows, ties and other columns
 change nothing.
@@ -19,6 +20,7 @@ change nothing.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import os
@@ -44,6 +46,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # as [0-9a-f]+ of 24 and more: a run matches
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "format")
 CANDIDATE = re.compile(r"[A-Za-z0-9][A-Za-z0-9+/_.-]{14,}[A-Za-z0-9]=*")
+LEAST_CHARS = 16
 JOINTS = "+/_.-"
 BITS = 24.0
 ALPHA = 0.05
@@ -251,6 +254,49 @@ class Formats:
         """Bits by which the best fitting format explains the text better than ordinary text does."""
         return self.ordinary.joined_bits(text) - min((a.bits(text) for a in self.known), default=math.inf)
 
+    @functools.cached_property
+    def together(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, tuple[np.ndarray, np.ndarray]]]:
+        """All automata as one, the ordinary one last: first states, bits of ends and of misses, and next states and bits by symbol."""
+        automata = [*self.known, self.ordinary]
+        first = np.cumsum([0] + [len(a.steps) for a in automata])
+        ends, misses = (np.concatenate([getattr(a, k) for a in automata]) for k in ("ends", "misses"))
+        symbols = {s for a in automata for step in a.steps for s in step}
+        known = {}
+        for s in symbols:
+            to, cost = np.arange(first[-1]), misses + SPREAD.get(s, 0.0)
+            for a, base in zip(automata, first, strict=False):
+                for i, step in enumerate(a.steps):
+                    if s in step:
+                        to[base + i], cost[base + i] = base + step[s][0], step[s][1] + SPREAD.get(s, 0.0)
+            known[s] = to, cost
+        return first[:-1], ends, misses, known
+
+    def rest(self, text: str, bits: float) -> tuple[float, int] | None:
+        """Gain and begin of the rest of the text that gains most, and at least ``bits``; one pass over the text from its end."""
+        begins = {i + 1 for i, c in enumerate(text) if c in JOINTS}
+        for a in self.known:
+            if a.start:
+                begins |= {m.start() for m in re.finditer(re.escape(a.start), text)}
+        begins = {i for i in begins if i and len(text) - i >= LEAST_CHARS and text[i].isalnum()}
+        if not begins:
+            return None
+        first, ends, misses, known = self.together
+        ordinary, now, best = first[-1], ends, None
+        ahead = {len(text): ends[first]}  # bits from each automaton's first state on, by place
+        for i in range(len(text) - 1, min(begins) - 1, -1):
+            s = symbol(text[i])
+            to, cost = known.get(s) or (slice(None), misses + SPREAD.get(s, 0.0))
+            after, now = now, now[to] + cost
+            if text[i] in JOINTS:
+                now[ordinary:] = np.minimum(now[ordinary:], ends[ordinary:] + JOINT_BITS + after[ordinary])
+            ahead[i] = now[first]
+            ahead.pop(i + LEAST_CHARS + 1, None)
+            if i in begins:
+                gain = now[ordinary] - min((ahead[i + len(a.start)][k] for k, a in enumerate(self.known) if text.startswith(a.start, i)), default=math.inf)
+                if gain >= bits and (best is None or gain >= best[0]) and any(c.isdigit() for c in text[i:]) and any(c.isalpha() for c in text[i:]):
+                    best = float(gain), i
+        return best
+
 
 def learn(credentials: dict[str, list[str]] | None = None, ordinary: list[str] | None = None, alpha: float = ALPHA) -> Formats:
     known = [infer(x, alpha) for x in (credentials or labelled_credentials()).values() if x]
@@ -270,8 +316,11 @@ def spans(text: str, formats: Formats, bits: float = BITS) -> list[tuple[str, in
     held = sorted((a, b) for _, a, b, _ in found)
     for m in CANDIDATE.finditer(text):
         token = m[0]
-        if any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and not any(a <= m.start() and m.end() <= b for a, b in held) and formats.gain(token) >= bits:
-            found.append(("format", m.start(), m.end(), m.start()))
+        if any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and not any(a <= m.start() and m.end() <= b for a, b in held):
+            at = (0.0, 0) if formats.gain(token) >= bits else formats.rest(token, bits)
+            start = m.start() + at[1] if at else m.end()
+            if at and not any(a <= start and m.end() <= b for a, b in held):
+                found.append(("format", start, m.end(), start))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

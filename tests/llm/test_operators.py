@@ -411,6 +411,23 @@ def test_credentials_of_any_length():
     assert not [x for x in joined if formats.gain(x) >= secrets.BITS]
 
 
+def test_credentials_glued_to_other_characters():
+    formats = secrets.learn()
+    rng = random.Random(12)
+    some = lambda chars, n: "".join(rng.choices(chars, k=n))
+    parts = secrets.labelled_ordinary(300, seed=5) + [x for k in secrets.labelled_credentials(20, seed=77).values() for x in k]
+    for _ in range(300):  # one pass from the end, against gain() of every rest
+        text = some("/-_.+x", 1).join(rng.choices(parts, k=rng.randint(1, 4)))
+        at = [i for i in range(1, len(text) - 15) if text[i].isalnum() and (text[i - 1] in secrets.JOINTS or any(a.start and text.startswith(a.start, i) for a in formats.known))]
+        gains = [(formats.gain(text[i:]), -i) for i in at if any(map(str.isdigit, text[i:])) and any(map(str.isalpha, text[i:]))]
+        found, best = formats.rest(text, secrets.BITS), max(gains, default=(0, 0))
+        assert (found is not None) == (best[0] >= secrets.BITS) and (found is None or abs(found[0] - best[0]) < 1e-6), text
+    keys = [x for x in secrets.labelled_credentials(50, seed=123)["project token"] if x[-1].isalnum()]
+    for before in ("host.example/path/", "x-", "name."):
+        hits = [secrets.spans(before + x, formats) for x in keys]
+        assert sum(x != [] and x[-1][2] == len(before + k) for x, k in zip(hits, keys)) >= 0.95 * len(keys), before
+
+
 def test_swaps_move_no_score():
     rng = random.Random(5)
     names = [line[0] for line in toxicity.IDENTITY]
