@@ -370,6 +370,11 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, seed: int = 0) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
+    return _classified(docs, width, percent, seed)[0].drop("set")
+
+
+def _classified(docs: DataFrame, width: int, percent: int, seed: int = 0) -> tuple[DataFrame, int]:
+    """As near_duplicates(), with the set's hash of each row and the seed of these."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -378,7 +383,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     sets = rows.groupBy("set").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.max("n").alias("m"), F.min("mark").alias("mark"), F.max("mark").alias("other"))
     count = sets.agg(F.count_if(F.expr("n <> m or mark <> other")).alias("clash")).head()["clash"]
     if count:
-        return near_duplicates(docs, width, percent, seed + 1)
+        return _classified(docs, width, percent, seed + 1)
     total = rows.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles")).head()
     hot = sized.filter("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= total["docs"] * HOT / 2)
     hot = np.sort(np.array([r["token"] for r in hot.select("token").collect()], np.int64).view(U64))  # at most 2 * mean size / HOT
@@ -389,21 +394,27 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     names = named.groupBy("class").agg(F.min("least").alias("component"))
     of_set = named.join(names, "class").select("set", "component")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id")
-    return rows.join(of_set, "set", "left").select("doc_id", F.col("n").alias("n_shingles"), component)
+    return rows.join(of_set, "set", "left").select("doc_id", F.col("n").alias("n_shingles"), component, "set"), seed
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each class, that of least doc_id, and all documents without words.
 
-    Rows that share a doc_id are told apart by their text: of equal ones one stays. Rows with null doc_id can't
-    be named by a class and stay, once for each text.
+    Rows that share a doc_id are told apart by their text: of equal ones one stays, and each stays or goes by its own
+    class. Rows with null doc_id can't be named by a class and stay, once for each text.
     """
-    found = written(near_duplicates(docs, width, percent).select("doc_id", "component_id"), "jaccard-classes")
+    found, seed = _classified(docs, width, percent)
+    found = written(found.select("doc_id", "component_id", "set"), "jaccard-classes")
     gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
     rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t"), F.struct(*docs.columns).alias("row"))
     kept = rows.join(gone, F.col("id") == F.col("gone"), "left_anti")
     many = found.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select(F.col("doc_id").alias("many"))
     if not many.isEmpty():
         same = F.col("id").eqNullSafe(F.col("many"))
-        kept = kept.join(many, same, "left_anti").union(kept.join(many, same, "left_semi").dropDuplicates(["id", "t"]))
+        shared = rows.join(many, same, "left_semi").dropDuplicates(["id", "t"]).withColumn("key", F.xxhash64("id", "t"))
+        of_key = _sized(shared.select(F.col("key").alias("doc_id"), F.col("t").cast("string").alias("text")), width, seed).filter("n is not null")
+        of_key = of_key.select(F.col("doc_id").alias("its_key"), "set").dropDuplicates(["its_key"])
+        other = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("other"), F.col("set").alias("its_set")).distinct()
+        stay = shared.join(of_key, F.col("key") == F.col("its_key")).join(other, (F.col("id") == F.col("other")) & (F.col("set") == F.col("its_set")), "left_anti")
+        kept = kept.join(many, same, "left_anti").union(stay.select("id", "t", "row"))
     return kept.select("row.*")

@@ -194,6 +194,13 @@ def test_one_of_each_keeps_one(docs):
     assert {r["doc_id"] for r in kept if r["doc_id"] is not None and WORD.search(r["text"] or "")} == {c for _, c in classes}
 
 
+def test_rows_of_one_id_stay_or_go_by_their_own_text(spark):
+    base, unique = (" ".join(f"{c}{i}" for i in range(200)) for c in "wu")
+    rows = [(1, base), (2, base + " more"), (2, unique), (2, unique), (3, unique + " more"), (4, None), (4, base), (4, "")]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(map(tuple, kept)) == Counter([(1, base), (2, unique), (4, None), (4, "")])
+
+
 def test_encoder_is_the_tokenizer():
     rng = random.Random(4)
     alphabet = list("abcXYZ019 .,'<|>&\n\t") + ["é", "É", "×", "÷", "…", "́", "中", " ", "<|endoftext|>", "'s", "😀", "İ", "\x00", "\x1c"]
