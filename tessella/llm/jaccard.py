@@ -3,28 +3,35 @@
 A document is the set of its distinct 5-word shingles (64-bit hashes). Two sets link when
 100 * |intersection| >= 80 * |union|. The result is one row a document with the least doc_id it reaches.
 
-1.  *Sets.* One pass gives each document the size and the hash of its set. Equal sets are one set from here on.
-    Shingles frequent in a batch are counted too; those that hold for ``HOT`` of all documents together (their
-    number is bounded by mean set size / HOT, and so broadcast) are *hot*.
-2.  *Frequencies.* A second pass deals the shingles, packed by batch, into buckets by their hash. A bucket learns
-    which of its shingles are in two sets or more; only these can be common to two sets. They go back, packed,
-    to their set. Hot shingles don't take this way, so no bucket outgrows the others.
-3.  *Prefixes.* A set orders its shingles: those of its own, then by frequency, then hot ones, ties by hash.
-    Linked sets share one among the first size - ceil(0.8 size) + 1. A set whose shingles are its own for more
-    than a fifth leaves here: that's nearly all documents.
+1.  *Chunks.* One pass over the texts makes the sets of some thousand documents at a time. A shingle that only one
+    set of a chunk holds goes, packed, to the bucket of its hash, with the set's number in the chunk; one that
+    several hold goes there once, with how many. What a chunk knows of itself (documents, hashes and sizes
+    of its sets, which sets hold its common shingles) goes to the chunk's home. So however frequent a shingle is, a
+    bucket gets it once a chunk, and the bytes a shingle costs don't grow with the number of buckets.
+2.  *Frequencies.* A bucket adds up and answers each chunk: its shingles that also others hold, with their frequency.
+    At home each set learns how many of its shingles are its own. (Shingles of copies in several chunks count as
+    shared here; copies become one set after this step.)
+3.  *Prefixes.* A set orders its shingles: its own, then by frequency, ties by hash. Linked sets share one among the
+    first size - ceil(0.8 size) + 1. A set whose shingles are its own for more than a fifth leaves here: that's
+    nearly all documents.
 4.  *Groups.* Sets with equal size and equal prefix are one group. Lists of groups by prefix shingle give group
     pairs, filtered by size and by the place of the common shingle; pairs are expanded to members and
     verified with whole sets.
-5.  *Links, not pairs.* Only links between components matter, so lists are first tried as stars: each group's
-    first member with its others, each list's first group with the others, then some more such centres. Sets
+5.  *Links, not pairs.* Only links between components matter, so each group is first compared with one other: of the
+    centres of its lists (a group chosen by hash, another one in each round) that which it meets most often. Sets
     already connected are never compared again: thousands of near copies cost a few comparisons each. A last
     round compares all that are still apart in the lists if what they share in the prefixes leaves a link
     possible, so no link is lost.
 
+Between documents a shingle is the number of its bucket and 40 or 48 more bits of its hash, 48 altogether at least. That
+only matters within a pair: two sets of 400 shingles share one by chance once in 1.7e9 pairs, and it changes the answer only where
+the pair is one shingle from the limit. Sets are told apart by two 64-bit hashes, and the job starts over with another
+seed if two sets share the first. Hot rows: joins by set, shingle or centre are plain joins with counts of a few
+bytes, which adaptive execution splits.
+
 Null or empty text, and text without words, is the empty set: size 0, linked with nothing. Null doc_id is
 carried; a class is named by its least doc_id that isn't null. Repeated rows are one set and each a row of the
-result. Empty tables give no rows. Other columns play no part. Sets are told apart by two hashes, and the job
-starts over with another seed if two sets share the first.
+result. A very long text is a chunk of its own. Empty tables give no rows. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -34,31 +41,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.components import components
-from tessella.llm.session import n_partitions, shared_dir, small_batches, written
+from tessella.llm.session import n_partitions, settings, shared_dir, small_batches, written
 from tessella.llm.textblock import U64, blocks, mix, shingle_sets
 
 WIDTH, PERCENT = 5, 80
 CHUNK = 4096
-HOT = 1 / 256
 BUCKET_BYTES = 8 << 20
-STARS = (1, 16, 256)
+MANY_BUCKETS = 256  # from here on 40 bits of the hash go with the bucket's number
+TEXT_BYTES_A_SHINGLE = 7
+ROUNDS = 5
 SPARE = 8
 PART_SETS = 4096
-SHORT = U64(16)
+CHUNK_SHINGLES = 1 << 20
 
 
 def set_hashes(sets: list[np.ndarray], seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each set, from sums of mixed elements."""
+    sizes = np.array([len(x) for x in sets], np.int64)
     out = np.zeros((2, len(sets)), U64)
-    for i, x in enumerate(sets):
+    some = np.flatnonzero(sizes)
+    if len(some):
+        flat = np.concatenate(sets)
+        starts = (np.cumsum(sizes) - sizes)[some]
         for j in (0, 1):
-            out[j, i] = mix(x + U64((2 * seed + j + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).sum(dtype=U64)
-    sizes = np.array([len(x) for x in sets], U64)
-    return mix(out[0] + sizes), mix(out[1] ^ sizes)
+            out[j, some] = np.add.reduceat(mix(flat + U64((2 * seed + j + 1) * 0x9E3779B97F4A7C15 % (1 << 64))), starts)
+    return mix(out[0] + sizes.astype(U64)), mix(out[1] ^ sizes.astype(U64))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -69,162 +82,166 @@ def _chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[lis
     for batch in batches:
         doc = batch.column("doc_id").to_pylist()
         for block in blocks(batch.column("text")):
-            found = list(shingle_sets(block, width))
-            ids += doc[block.first : block.last]
-            sets += found
-            held += sum(map(len, found))
-            if len(sets) >= CHUNK or held >= CHUNK << 9:
-                yield ids, sets
-                ids, sets, held = [], [], 0
+            for i, found in zip(range(block.first, block.last), shingle_sets(block, width), strict=True):
+                ids.append(doc[i])
+                sets.append(found)
+                held += len(found)
+                if len(sets) >= CHUNK or held >= CHUNK_SHINGLES:
+                    yield ids, sets
+                    ids, sets, held = [], [], 0
     if sets:
         yield ids, sets
 
 
-def _sized(docs: DataFrame, width: int, seed: int) -> DataFrame:
-    """doc_id, n, set, mark of each row; and, with n null, (token, seen) for shingles frequent in a chunk."""
-    schema = pa.schema({"doc_id": pa.int64(), "n": pa.int64(), "set": pa.int64(), "mark": pa.int64(), "token": pa.int64(), "seen": pa.int64()})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _chunks(batches, width):
-            key, mark = set_hashes(sets, seed)
-            token, seen = np.unique(np.concatenate(sets), return_counts=True)
-            often = seen >= max(16, len(sets) * HOT / 2)
-            token, seen = token[often].view(np.int64), seen[often]
-            n, m = len(sets), len(token)
-            blank = lambda k: pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(key.view(np.int64)), pa.array(mark.view(np.int64)), blank(n), blank(n)], schema=schema)
-            if m:
-                yield pa.RecordBatch.from_arrays([blank(m)] * 4 + [pa.array(token), pa.array(seen.astype(np.int64))], schema=schema)
-
-    return docs.mapInArrow(run, "doc_id long, n long, set long, mark long, token long, seen long")
+def _packed(rows: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
+    n = max(map(len, rows.values()))
+    return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) if len(rows.get(f.name, ())) else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
-PACKED = ("sets", "counts", "tokens", "known", "sizes", "hot_counts", "hot")
+def n_bytes(n_buckets: int) -> int:
+    """Bytes of a shingle beside its bucket's number."""
+    return 5 if n_buckets >= MANY_BUCKETS else 6
 
 
-def _packed(rows: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
+def short_token(tokens: np.ndarray, n_buckets: int) -> np.ndarray:
+    """A shingle from here on: the number of its bucket above 40 or 48 bits of the rest of its hash."""
+    bits = 8 * n_bytes(n_buckets)
+    return ((tokens % U64(n_buckets)) << U64(bits)) | ((tokens // U64(n_buckets)) & U64((1 << bits) - 1))
 
 
-def _six(tokens: np.ndarray) -> bytes:
-    """The high 48 bits of each."""
-    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+def _low(tokens: np.ndarray, width: int) -> np.ndarray:
+    """The lowest bytes of each, as rows."""
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
 
 
-def _from_six(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+def _from_low(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
     return out.reshape(-1).view("<u8").astype(U64)
 
 
-def short_token(tokens: np.ndarray, n_buckets: int) -> np.ndarray:
-    """A shingle from here on: 48 bits of its hash and 16 of its bucket."""
-    return (tokens >> SHORT << SHORT) | ((tokens % U64(n_buckets)) & U64(0xFFFF))
-
-
-def _deal(docs: DataFrame, width: int, seed: int, hot: np.ndarray, n: int) -> DataFrame:
-    """Packed by chunk and bucket: the bucket's shingles by set, and sizes and hot shingles of the sets kept there."""
-    schema = pa.schema({"bucket": pa.int32()} | {x: pa.binary() for x in PACKED})
-
+def _steps(numbers: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers that rise within each part as bytes of differences, 255 standing for 255 and no number, and the parts' ends among the bytes."""
+    d = np.diff(numbers, prepend=0)
+    first = ends[:-1][np.diff(ends) > 0]
+    d[first] = numbers[first]
+    width = d // 255 + 1
+    at = np.concatenate([[0], np.cumsum(width)])
+    out = np.full(at[-1], 255, np.uint8)
+    out[at[1:] - 1] = d % 255
+    return out, at[ends]
+
+
+def _from_steps(raw: bytes, sizes: np.ndarray | None = None) -> np.ndarray:
+    """The numbers again; ``sizes``: how many of them each part has."""
+    d = np.frombuffer(raw, np.uint8)
+    sums = np.cumsum(d, dtype=np.int64)[d != 255]
+    if sizes is not None and len(sizes):
+        sums = sums - np.repeat(np.concatenate([[0], sums[np.cumsum(sizes) - 1][:-1]]), sizes)
+    return sums
+
+
+CELL = {"place": pa.int32(), "bucket": pa.int32(), "chunk": pa.int64(), "alone": pa.binary(), "owners": pa.binary(), "common": pa.binary(), "counts": pa.binary(), "head": pa.binary(), "held": pa.binary()}
+CELL_DDL = "place int, bucket int, chunk long, alone binary, owners binary, common binary, counts binary, head binary, held binary"
+HEAD = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("set", "<u8"), ("mark", "<u8"), ("n", "<i8")])
+
+
+def _cells(ids: list, sets: list[np.ndarray], seed: int, n: int, salt: int) -> pa.RecordBatch:
+    """A chunk's shingles, a row a bucket, and its head, dealt to the chunk's home."""
+    head = np.zeros(len(ids), HEAD)
+    head["doc_id"], head["null"] = [0 if x is None else x for x in ids], [x is None for x in ids]
+    head["set"], head["mark"] = set_hashes(sets, seed)
+    head["n"] = [len(x) for x in sets]
+    chunk = int(mix(np.array([(head["set"] * np.arange(1, 2 * len(ids), 2, dtype=U64)).sum(dtype=U64) + U64(salt)], U64)).view(np.int64)[0])
+    _, one = np.unique(head["set"], return_index=True)
+    mine = [sets[i] for i in one]
+    token = short_token(np.concatenate(mine), n)
+    owner = np.repeat(np.arange(len(mine)), [len(x) for x in mine])
+    order = np.argsort(token, kind="stable")  # then by owner
+    token, owner = token[order], owner[order]
+    starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(starts, len(token)))
+    many = np.repeat(counts > 1, counts)
+    common, times, holders = token[starts][counts > 1], counts[counts > 1], owner[many]
+    token, owner = token[~many], owner[~many]
+    width = n_bytes(n)
+    bits = U64(8 * width)
+    bucket = (token >> bits).astype(np.int64)
+    order = np.lexsort((owner, bucket))
+    token, owner = token[order], owner[order]
+    wall = np.arange(n + 1)
+    ends, walls = np.searchsorted(bucket, wall), np.searchsorted((common >> bits).astype(np.int64), wall)
+    steps, at = _steps(owner, ends)
+    full = np.flatnonzero((np.diff(ends) > 0) | (np.diff(walls) > 0))
+    alone, shared, times_byte = _low(token, width), _low(common, width), np.minimum(times, 255).astype(np.uint8)
+    cut = lambda x, e: [x[e[b] : e[b + 1]].tobytes() for b in full]
+    rows = {"place": full.tolist(), "bucket": full.tolist(), "chunk": [chunk] * len(full), "alone": cut(alone, ends), "owners": cut(steps, at), "common": cut(shared, walls), "counts": cut(times_byte, walls), "head": [None] * len(full), "held": [None] * len(full)}
+    held, _ = _steps(holders, np.concatenate([[0], np.cumsum(times)]))
+    for name, value in {"place": chunk % n, "bucket": None, "chunk": chunk, "alone": None, "owners": None, "common": common.astype("<u8").tobytes(), "counts": times.astype("<u4").tobytes(), "head": head.tobytes(), "held": held.tobytes()}.items():
+        rows[name].append(value)
+    return _packed(rows, pa.schema(CELL))
+
+
+def _dealt(docs: DataFrame, width: int, seed: int, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _chunks(batches, width):
-            keys, _ = set_hashes(sets, seed)
-            keys, one = np.unique(keys, return_index=True)
-            sets = [sets[i] for i in one]
-            some = np.array([len(x) > 0 for x in sets])
-            keys, sets = keys[some], [x for x in sets if len(x)]
-            if not len(keys):
-                continue
-            token = np.concatenate(sets)
-            size = np.array([len(x) for x in sets], np.int64)
-            owner = np.repeat(np.arange(len(sets)), size)
-            warm = np.isin(token, hot) if len(hot) else np.zeros(len(token), bool)
-            hot_token, hot_owner = token[warm], owner[warm]
-            token, owner = token[~warm], owner[~warm]
-            bucket = (token % U64(n)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")  # by bucket, then set
-            token, owner = token[order], owner[order]
-            ends = np.searchsorted(bucket[order], np.arange(n + 1))
-            home = (keys % U64(n)).astype(np.int64)
-            at_home = np.argsort(home, kind="stable")
-            homes = np.searchsorted(home[at_home], np.arange(n + 1))
-            hot_ends = np.searchsorted(hot_owner, np.arange(len(sets) + 1))
-            rows: dict[str, list] = {f.name: [] for f in schema}
-            for b in range(n):
-                mine, its = owner[ends[b] : ends[b + 1]], at_home[homes[b] : homes[b + 1]]
-                if not len(mine) and not len(its):
-                    continue
-                who, first = np.unique(mine, return_index=True)
-                rows["bucket"].append(b)
-                rows["sets"].append(keys[who].astype("<u8").tobytes())
-                rows["counts"].append(np.diff(np.append(first, len(mine))).astype("<u4").tobytes())
-                rows["tokens"].append(_six(token[ends[b] : ends[b + 1]]))
-                rows["known"].append(keys[its].astype("<u8").tobytes())
-                rows["sizes"].append(size[its].astype("<i8").tobytes())
-                rows["hot_counts"].append((hot_ends[its + 1] - hot_ends[its]).astype("<u4").tobytes())
-                rows["hot"].append(b"".join(hot_token[hot_ends[i] : hot_ends[i + 1]].astype("<u8").tobytes() for i in its))
-            yield _packed(rows, schema)
+        part = TaskContext.get().partitionId()
+        for k, (ids, sets) in enumerate(_chunks(batches, width)):
+            yield _cells(ids, sets, seed, n, (part << 24) + k)  # chunks of equal sets have names of their own
+
+    return docs.mapInArrow(run, CELL_DDL).repartitionById(n, F.col("place"))
 
-    dealt = docs.mapInArrow(run, "bucket int, " + ", ".join(f"{x} binary" for x in PACKED))
-    return dealt.repartitionById(n, F.col("bucket"))
 
+def code(often: np.ndarray) -> np.ndarray:
+    """A frequency in one byte, its order kept; 0 for 1 only."""
+    return np.minimum(255, np.floor(8 * np.log2(often))).astype(np.uint8)
 
-def _all(batches: list[pa.RecordBatch], column: str, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for b in batches for x in b.column(column)), kind)
 
+def _answered(dealt: DataFrame, n: int) -> DataFrame:
+    """Of each cell the lone shingles that other chunks hold too, with codes of their frequency, and the codes of all common ones; heads as they are."""
 
-def _frequencies(dealt: DataFrame, n: int) -> DataFrame:
-    """Packed by home bucket of the sets: shingles in two sets or more with their frequency; sizes and hot shingles once a set."""
-    names = ("sets", "counts", "tokens", "often", "known", "sizes", "hot_counts", "hot")
-    schema = pa.schema({"home": pa.int32(), "bucket": pa.int32()} | {x: pa.binary() for x in names})
+    width = n_bytes(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
+        cells: dict[str, list] = {x: [] for x in ("bucket", "chunk", "alone", "owners", "common", "counts")}
+        for batch in batches:
+            is_head = batch.column("head").is_valid()
+            heads = batch.filter(is_head)
+            if heads.num_rows:
+                yield heads
+            if heads.num_rows < batch.num_rows:
+                rest = batch.filter(pc.invert(is_head))
+                for x in cells:
+                    cells[x] += rest.column(x).to_pylist()
+        if not cells["chunk"]:
             return
-        bucket = held[0].column("bucket")[0].as_py()
-        owner = np.repeat(_all(held, "sets", "<u8"), _all(held, "counts", "<u4"))
-        token = _from_six(b"".join(x.as_py() for b in held for x in b.column("tokens")))
-        order = np.lexsort((owner, token))
-        token, owner = token[order], owner[order]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
-        token, owner = token[new], owner[new]
-        first = np.ones(len(token), bool)
-        first[1:] = token[1:] != token[:-1]
-        starts = np.flatnonzero(first)
-        often = np.diff(np.append(starts, len(token)))
-        often = np.repeat(often, often)
-        shared = often > 1
-        token, owner, often = token[shared], owner[shared], np.minimum(often[shared], 0xFFFF)
-        home = (owner % U64(n)).astype(np.int64)
-        order = np.lexsort((owner, home))
-        token, owner, often = token[order], owner[order], often[order]
-        ends = np.searchsorted(home[order], np.arange(n + 1))
-        rows: dict[str, list] = {f.name: [] for f in schema}
-        known, one = np.unique(_all(held, "known", "<u8"), return_index=True)
-        hot_ends = np.concatenate([[0], np.cumsum(_all(held, "hot_counts", "<u4").astype(np.int64))])
-        hot = _all(held, "hot", "<u8")
-        for h in range(n):
-            mine = slice(ends[h], ends[h + 1])
-            here = h == bucket  # sizes and hot shingles of a set were dealt to its home
-            if ends[h] == ends[h + 1] and not (here and len(known)):
+        size, many = (np.array([len(x) // width for x in cells[k]], np.int64) for k in ("alone", "common"))
+        bucket = np.array(cells["bucket"], U64) << U64(8 * width)
+        token = np.concatenate([_from_low(b"".join(cells["alone"]), width) | np.repeat(bucket, size), _from_low(b"".join(cells["common"]), width) | np.repeat(bucket, many)])
+        weight = np.concatenate([np.ones(int(size.sum()), np.int64), np.frombuffer(b"".join(cells["counts"]), np.uint8)])
+        order = np.argsort(token)
+        starts = np.flatnonzero(np.concatenate([[True], token[order][1:] != token[order][:-1]]))
+        often = np.empty(len(token), np.uint8)
+        often[order] = np.repeat(code(np.add.reduceat(weight[order], starts)), np.diff(np.append(starts, len(token))))
+        alone, common = often[: size.sum()], often[size.sum() :].tobytes()
+        ends, walls = np.concatenate([[0], np.cumsum(size)]), np.concatenate([[0], np.cumsum(many)])
+        low = _low(token[: size.sum()], width)
+        rows: dict[str, list] = {x: [] for x in CELL}
+        for i, chunk in enumerate(cells["chunk"]):
+            shared = np.flatnonzero(alone[ends[i] : ends[i + 1]])
+            if not len(shared) and not many[i]:
                 continue
-            who, begin = np.unique(owner[mine], return_index=True)
-            rows["home"].append(h)
-            rows["bucket"].append(bucket)
-            rows["sets"].append(who.tobytes())
-            rows["counts"].append(np.diff(np.append(begin, ends[h + 1] - ends[h])).astype("<u4").tobytes())
-            rows["tokens"].append(_six(token[mine]))
-            rows["often"].append(often[mine].astype("<u2").tobytes())
-            rows["known"].append(known.tobytes() if here else b"")
-            rows["sizes"].append(_all(held, "sizes", "<i8")[one].tobytes() if here else b"")
-            rows["hot_counts"].append(np.diff(hot_ends)[one].astype("<u4").tobytes() if here else b"")
-            rows["hot"].append(b"".join(hot[hot_ends[i] : hot_ends[i + 1]].tobytes() for i in one) if here else b"")
-        yield _packed(rows, schema)
-
-    found = dealt.mapInArrow(run, "home int, bucket int, " + ", ".join(f"{x} binary" for x in names))
-    return found.repartitionById(n, F.col("home"))
+            owners = _from_steps(cells["owners"][i])[shared]
+            at = ends[i] + shared
+            values = (chunk % n, cells["bucket"][i], chunk, low[at].tobytes(), _steps(owners, np.array([0, len(owners)]))[0].tobytes(), common[walls[i] : walls[i + 1]], alone[at].tobytes(), None, None)
+            for name, value in zip(CELL, values, strict=True):
+                rows[name].append(value)
+            if len(rows["chunk"]) >= 4096:
+                yield _packed(rows, pa.schema(CELL))
+                rows = {x: [] for x in CELL}
+        if rows["chunk"]:
+            yield _packed(rows, pa.schema(CELL))
+
+    return dealt.mapInArrow(run, CELL_DDL).repartitionById(n, F.col("place"))
 
 
 def needed(n: int, percent: int) -> int:
@@ -232,51 +249,68 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _ordered(frequencies: DataFrame, n: int, percent: int) -> DataFrame:
-    """set, n, own (shingles in no other set), p (length of the prefix without these), tokens: sets that can have a link."""
-    schema = pa.schema({"set": pa.int64(), "n": pa.int64(), "own": pa.int64(), "p": pa.int32(), "tokens": pa.list_(pa.int64())})
+FOUND = {"doc_id": pa.int64(), "set": pa.int64(), "mark": pa.int64(), "n": pa.int64(), "own": pa.int64(), "p": pa.int32(), "tokens": pa.list_(pa.int64())}
+FOUND_DDL = "doc_id long, set long, mark long, n long, own long, p int, tokens array<long>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        owner = np.repeat(_all(held, "sets", "<u8"), _all(held, "counts", "<u4"))
-        token = _from_six(b"".join(x.as_py() for b in held for x in b.column("tokens")))
-        bucket = np.repeat([x for b in held for x in b.column("bucket").to_pylist()], [len(x.as_py()) // 6 for b in held for x in b.column("tokens")])
-        token = token | (bucket.astype(U64) & U64(0xFFFF))
-        often = _all(held, "often", "<u2").astype(np.int64)
-        known, sizes = _all(held, "known", "<u8"), _all(held, "sizes", "<i8")
-        hot = short_token(_all(held, "hot", "<u8"), n)
-        owner = np.concatenate([owner, np.repeat(known, _all(held, "hot_counts", "<u4"))])
-        token, often = np.concatenate([token, hot]), np.concatenate([often, np.full(len(hot), 1 << 20)])
+
+def _at_home(answers: DataFrame, n_buckets: int, percent: int) -> DataFrame:
+    """doc_id, set, mark, n of every document; and, with p not null, set, n, own (shingles in no other set), p (length of the
+    prefix without these), tokens of sets that can have a link."""
+    schema, width = pa.schema(FOUND), n_bytes(n_buckets)
+
+    def of_chunk(row: dict, answers: list[dict]) -> Iterator[pa.RecordBatch]:
+        head = np.frombuffer(row["head"], HEAD)
+        ids = pa.array(head["doc_id"].copy(), mask=head["null"] > 0)
+        yield _packed({"doc_id": ids, "set": head["set"].copy().view(np.int64), "mark": head["mark"].copy().view(np.int64), "n": head["n"].copy()}, schema)
+        keys, one = np.unique(head["set"], return_index=True)
+        size = head["n"][one]
+        answers.sort(key=lambda r: r["bucket"])
+        times = np.frombuffer(row["counts"], "<u4").astype(np.int64)
+        common, holders = np.repeat(np.frombuffer(row["common"], "<u8"), times), _from_steps(row["held"], times)
+        often = np.repeat(np.frombuffer(b"".join(r["common"] for r in answers), np.uint8), times)
+        alone = [(_from_low(r["alone"], width) | (U64(r["bucket"]) << U64(8 * width)), _from_steps(r["owners"]), np.frombuffer(r["counts"], np.uint8)) for r in answers if r["alone"]]
+        token, owner, often = (np.concatenate(x) for x in zip((common, holders, often), *alone, strict=True))
         order = np.lexsort((token, often, owner))
         token, owner = token[order], owner[order]
-        at_known = np.argsort(known)
-        known, sizes = known[at_known], sizes[at_known]
-        begin, end = np.searchsorted(owner, known, "left"), np.searchsorted(owner, known, "right")
-        rows: dict[str, list] = {f.name: [] for f in schema}
-        for key, size, a, b in zip(known.view(np.int64).tolist(), sizes.tolist(), begin, end, strict=True):
-            own, least = size - (b - a), needed(size, percent)
-            if b - a >= least:
-                rows["set"].append(key)
-                rows["n"].append(size)
-                rows["own"].append(own)
-                rows["p"].append(size - least + 1 - own)
-                rows["tokens"].append(token[a:b].view(np.int64))
-            if len(rows["set"]) >= 1000:
+        ends = np.searchsorted(owner, np.arange(len(keys) + 1))
+        rows: dict[str, list] = {x: [] for x in FOUND}
+        held = 0
+        for i, (key, n) in enumerate(zip(keys.view(np.int64).tolist(), size.tolist(), strict=True)):
+            a, b = ends[i], ends[i + 1]
+            own, least = n - int(b - a), needed(n, percent)
+            if n and b - a >= least:
+                for name, value in zip(FOUND, (None, key, None, n, own, n - least + 1 - own, token[a:b].view(np.int64)), strict=True):
+                    rows[name].append(value)
+                held += b - a
+            if held >= 1 << 19:
                 yield _packed(rows, schema)
-                rows = {f.name: [] for f in schema}
+                rows, held = {x: [] for x in FOUND}, 0
         if rows["set"]:
             yield _packed(rows, schema)
 
-    return frequencies.mapInArrow(run, "set long, n long, own long, p int, tokens array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, answers = {}, {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["head"] is None:
+                    answers.setdefault(r["chunk"], []).append(r)
+                elif r["chunk"] in heads:
+                    raise ValueError("two chunks with one name")
+                else:
+                    heads[r["chunk"]] = r
+        if answers.keys() - heads.keys():
+            raise ValueError("a chunk changed between two runs of its task: write the documents to a table first")
+        for name, row in heads.items():
+            yield from of_chunk(row, answers.pop(name, []))
+
+    return answers.mapInArrow(run, FOUND_DDL)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) of sets that are linked."""
+    """The ``pairs`` (a, b) of sets that are linked. ``sets`` lie by set already, so only pairs move, once with the one's shingles."""
     side = lambda x: sets.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
     both = F.size(F.array_intersect("t_a", "t_b")).cast("long")
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    met = pairs.join(side("a"), "a").filter(F.col("n_a") > 0).join(side("b"), "b")
     return met.filter((100 + percent) * both >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
@@ -305,15 +339,20 @@ def _unlike_lists(lists: DataFrame) -> DataFrame:
 
 
 def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """set, class for the ``sets`` (set, n, own, p, tokens) that link with another."""
+    """set, class for the ``sets`` (set, n, own, p, tokens; repeats are one) that link with another."""
     spark = sets.sparkSession
     shared_dir(spark)
     parts = max(1, math.ceil(sets.count() / PART_SETS))
     kept = lambda frame: frame.coalesce(parts).checkpoint()
+    # stays partitioned by set, in as many parts as joins make, so that they leave it where it lies
+    with settings(spark, {"spark.sql.adaptive.enabled": "false"}):  # an adaptive plan would forget how it is partitioned
+        sets = sets.repartition(max(parts, n_partitions(spark)), "set").dropDuplicates(["set"]).checkpoint()
     prefix = sets.select("set", "n", "own", F.slice("tokens", 1, F.col("p")).alias("prefix"))
-    groups = kept(prefix.groupBy("n", "own", "prefix").agg(F.min("set").alias("g")))
-    members = kept(prefix.join(groups, ["n", "own", "prefix"]).select("set", "g"))
-    lists = groups.select("g", "n", "own", F.posexplode("prefix").alias("i", "token")).select("g", "n", "token", (F.col("i") + F.col("own")).alias("i"))
+    alike = prefix.select("set", F.xxhash64("n", "own", "prefix").alias("x"), F.xxhash64(F.lit(percent), "prefix", "n").alias("y"))
+    members = kept(alike.join(alike.groupBy("x", "y").agg(F.min("set").alias("g")), ["x", "y"]).select("set", "g"))
+    groups = prefix.join(members.filter("set = g").select("set"), "set").withColumnRenamed("set", "g")
+    by_token = groups.select("g", "n", "own", F.posexplode("prefix").alias("i", "token")).select("token", "g", "n", (F.col("i") + F.col("own")).alias("i")).repartition("token")
+    lists = kept(by_token.join(by_token.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "token"))
     classes = None  # set, class: of those linked so far
 
     def known(frame: DataFrame, column: str, name: str) -> DataFrame:
@@ -332,32 +371,30 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         fresh = stars.join(classes.select(F.col("set").alias("old")), "old", "left_anti").select(F.col("old").alias("set"), F.col("new").alias("class"))
         return kept(moved.union(fresh))
 
-    def open_lists() -> DataFrame:
+    def open_lists(lists: DataFrame) -> DataFrame:
         """Lists with the class of each group (null: its members are of several), where more than one is left."""
         of_groups = known(members, "set", "c").groupBy("g").agg(F.min("c").alias("c"), F.max("c").alias("d"))
         of_groups = of_groups.select("g", F.when(F.col("c") == F.col("d"), F.col("c")).alias("c"))
-        with_class = lists.join(of_groups, "g")
+        with_class = lists.select("token", "g", "n", "i").join(of_groups, "g")
         apart = with_class.groupBy("token").agg(F.min("c").alias("c"), F.max("c").alias("d"), F.count_if(F.col("c").isNull()).alias("split"), F.count(F.lit(1)).alias("size"))
         apart = apart.filter("split > 0 or c <> d").select("token", "size")
         return kept(with_class.join(apart, "token"))
 
-    inside = members.filter("set <> g").select(F.col("g").alias("a"), F.col("set").alias("b"))
-    postings = None
-    for k in STARS:
-        now = open_lists()
+    now, postings = open_lists(lists), None
+    for turn in range(ROUNDS):
         sums = now.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("squares")).head()
         postings = postings or sums["n"]
-        if k > 1 and (sums["squares"] or 0) <= SPARE * postings:
+        if turn and (sums["squares"] or 0) <= SPARE * postings:
             break
-        place = F.pmod(F.xxhash64("g"), F.lit(k))
-        centre = F.min(F.struct("g", "n", "i", "c")).alias("z")
-        centres = now.groupBy("token", place.alias("k")).agg(centre).select("token", F.col("z.g").alias("a"), F.col("z.n").alias("m"), F.col("z.i").alias("j"), F.col("z.c").alias("d"))
-        pairs = now.join(centres, "token").filter(F.col("g") != F.col("a")).filter(_near(percent)).filter("c is null or d is null or c <> d")
-        pairs = pairs.select("a", F.col("g").alias("b"))
-        pairs = (pairs.union(inside) if k == 1 else pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        centre = F.min_by(F.struct("g", "n", "i", "c"), F.struct(F.xxhash64("g", F.lit(turn)), F.col("g"))).alias("z")
+        centres = now.groupBy("token").agg(centre).select("token", F.col("z.g").alias("a"), F.col("z.n").alias("m"), F.col("z.i").alias("j"), F.col("z.c").alias("d"))
+        met = now.join(centres, "token").filter(F.col("g") != F.col("a")).filter(_near(percent)).filter("c is null or d is null or c <> d")
+        pairs = met.groupBy("g", "a").agg(F.count(F.lit(1)).alias("times")).groupBy("g").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", F.col("g").alias("b"))
+        if not turn:
+            pairs = pairs.union(members.filter("set <> g").select(F.col("g").alias("a"), F.col("set").alias("b")))
         classes = join_up(pairs)
-        now = None
-    now = kept(_unlike_lists(now or open_lists()))
+        now = open_lists(now)
+    now = kept(_unlike_lists(now))
     other = now.select("list", F.col("g").alias("h"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("d"))
     pairs = now.join(other, "list").filter("g < h or (g = h and c is null)").filter("c is null or d is null or c <> d").filter(_near(percent)).select("g", "h").distinct()
     pairs = pairs.join(groups.select("g", "n", "own", F.col("prefix").alias("p")), "g")
@@ -373,23 +410,24 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     return _classified(docs, width, percent, seed)[0].drop("set")
 
 
+def _slim(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def _classified(docs: DataFrame, width: int, percent: int, seed: int = 0) -> tuple[DataFrame, int]:
     """As near_duplicates(), with the set's hash of each row and the seed of these."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sized = written(_sized(docs, width, seed), "jaccard-sets")
-    rows = sized.filter("n is not null").select("doc_id", "n", "set", "mark")
+    docs = _slim(docs)
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).head()["bytes"] or 0
+    n = max(1, n_partitions(spark), math.ceil(6 * size / TEXT_BYTES_A_SHINGLE / BUCKET_BYTES))
+    n = max(n, MANY_BUCKETS) if n > MANY_BUCKETS // 4 else n
+    found = written(_at_home(_answered(_dealt(docs, width, seed, n), n), n, percent), "jaccard-sets")
+    rows = found.filter("p is null").select("doc_id", "n", "set", "mark")
     sets = rows.groupBy("set").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.max("n").alias("m"), F.min("mark").alias("mark"), F.max("mark").alias("other"))
-    count = sets.agg(F.count_if(F.expr("n <> m or mark <> other")).alias("clash")).head()["clash"]
-    if count:
+    if not sets.filter("n <> m or mark <> other").isEmpty():
         return _classified(docs, width, percent, seed + 1)
-    total = rows.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles")).head()
-    hot = sized.filter("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= total["docs"] * HOT / 2)
-    hot = np.sort(np.array([r["token"] for r in hot.select("token").collect()], np.int64).view(U64))  # at most 2 * mean size / HOT
-    n = max(n_partitions(spark), math.ceil(6 * (total["shingles"] or 0) / BUCKET_BYTES))
-    ordered = _ordered(_frequencies(_deal(docs, width, seed, hot, n), n), n, percent)
-    classes = links(written(ordered, "jaccard-ordered"), percent)
+    classes = links(found.filter("p is not null").select("set", "n", "own", "p", "tokens"), percent)
     named = sets.filter("n > 0").select("set", "least").join(classes, "set", "left").withColumn("class", F.coalesce("class", "set"))
     names = named.groupBy("class").agg(F.min("least").alias("component"))
     of_set = named.join(names, "class").select("set", "component")
@@ -397,6 +435,16 @@ def _classified(docs: DataFrame, width: int, percent: int, seed: int = 0) -> tup
     return rows.join(of_set, "set", "left").select("doc_id", F.col("n").alias("n_shingles"), component, "set"), seed
 
 
+def keyed(docs: DataFrame, width: int, seed: int) -> DataFrame:
+    """doc_id, set (the set's hash) of every row of ``docs`` (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sets in _chunks(batches, width):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(set_hashes(sets, seed)[0].view(np.int64))], ["doc_id", "set"])
+
+    return docs.mapInArrow(run, "doc_id long, set long")
+
+
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each class, that of least doc_id, and all documents without words.
 
@@ -405,14 +453,15 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     """
     found, seed = _classified(docs, width, percent)
     found = written(found.select("doc_id", "component_id", "set"), "jaccard-classes")
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    # a table of its own, so that Spark knows its size: texts only move if it is too large to be sent to all
+    gone = written(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct(), "jaccard-gone")
     rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t"), F.struct(*docs.columns).alias("row"))
     kept = rows.join(gone, F.col("id") == F.col("gone"), "left_anti")
     many = found.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select(F.col("doc_id").alias("many"))
     if not many.isEmpty():
         same = F.col("id").eqNullSafe(F.col("many"))
         shared = rows.join(many, same, "left_semi").dropDuplicates(["id", "t"]).withColumn("key", F.xxhash64("id", "t"))
-        of_key = _sized(shared.select(F.col("key").alias("doc_id"), F.col("t").cast("string").alias("text")), width, seed).filter("n is not null")
+        of_key = keyed(shared.select(F.col("key").alias("doc_id"), F.col("t").cast("string").alias("text")), width, seed)
         of_key = of_key.select(F.col("doc_id").alias("its_key"), "set").dropDuplicates(["its_key"])
         other = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("other"), F.col("set").alias("its_set")).distinct()
         stay = shared.join(of_key, F.col("key") == F.col("its_key")).join(other, (F.col("id") == F.col("other")) & (F.col("set") == F.col("its_set")), "left_anti")
