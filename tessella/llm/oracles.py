@@ -56,9 +56,9 @@ _N = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 
 MIXING = rf"""
 WITH docs AS (
-  SELECT doc_id, source, CAST({_N} AS BIGINT) AS size, md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
-), total AS (SELECT coalesce(sum(size), 0) AS n FROM docs),
-block AS (SELECT n, least(1024, greatest(16, n // 50000)) AS b, CAST(floor(n * 1.5 / least(1024, greatest(16, n // 50000)) + 0.5) AS BIGINT) AS house FROM total),
+  SELECT doc_id, source, CAST({_N} AS BIGINT) AS size, coalesce(md5(text), '') AS tie,
+         md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(md5(text), '')) AS h FROM documents
+), house AS (SELECT CAST(floor(coalesce(sum(size), 0) * 1.5 / 8 + 0.5) AS BIGINT) AS house FROM docs),
 s1 AS (
   SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS src FROM docs GROUP BY source
 ), s2 AS (SELECT *, CASE (src - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, 2 * source_size AS cap FROM s1),
@@ -67,30 +67,34 @@ s3 AS (
   FROM s2 WINDOW w AS (ORDER BY cap::DOUBLE / weight, src)
 ), sources AS (SELECT source, src, source_size, least(cap::DOUBLE, weight * max(level) OVER ()) AS target FROM s3),
 q1 AS (
-  SELECT src, k, target / (2 * k + 1) AS quotient FROM sources, block, range(0, CAST(house AS BIGINT)) AS r(k)
-  WHERE target > 0 AND k <= 2 * source_size // b + 1
+  SELECT src, target / (2 * k + 1) AS quotient FROM sources, house, range(0, CAST(house AS BIGINT)) AS r(k)
+  WHERE target > 0 AND k <= target / 8 + 2
 ), seats AS (
-  SELECT src, count(*) AS blocks FROM (SELECT src, row_number() OVER (ORDER BY quotient DESC, src) AS p FROM q1), block WHERE p <= house GROUP BY src
+  SELECT src, count(*) AS blocks FROM (SELECT src, row_number() OVER (ORDER BY quotient DESC, src) AS p FROM q1), house WHERE p <= house GROUP BY src
 ), placed AS (
   SELECT d.*, s.src, s.source_size, s.target,
-         CAST(('0x' || substr(h, 1, 8)) AS BIGINT) % least(4096, greatest(1, CAST(ceil(source_size / 262144.0) AS BIGINT))) AS shard
+         CAST(('0x' || substr(h, 1, 15)) AS BIGINT) % greatest(1, CAST(ceil(source_size / 262144.0) AS BIGINT)) AS shard
   FROM docs AS d JOIN sources AS s ON d.source IS NOT DISTINCT FROM s.source
 ), put AS (
-  SELECT *, sum(size) OVER (PARTITION BY src, shard ORDER BY h, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS before FROM placed
+  SELECT *, sum(size) OVER (PARTITION BY src, shard ORDER BY h, doc_id NULLS FIRST, size, tie ROWS UNBOUNDED PRECEDING) - size AS before FROM placed
 ), shards AS (
-  SELECT p.src, shard, sum(size) AS words, greatest(1, CAST(round(sum(size) / b::DOUBLE) AS BIGINT)) AS n, any_value(blocks) AS blocks
-  FROM placed AS p JOIN seats USING (src), block GROUP BY p.src, shard, b HAVING sum(size) > 0
-), q2 AS (
-  SELECT src, shard, row_number() OVER (PARTITION BY src ORDER BY words::DOUBLE / (2 * k + 1) DESC, shard) AS p, blocks
-  FROM shards, range(0, 1000000) AS r(k) WHERE k <= 2 * n + 2
-), won AS (SELECT src, shard, count(*) AS got FROM q2 WHERE p <= blocks GROUP BY src, shard),
-units AS (
-  SELECT s.src, s.shard, s.words, s.n, least(coalesce(got, 0), 2 * s.n) AS q, i,
-         row_number() OVER (PARTITION BY s.src, s.shard ORDER BY md5('mix-1|' || s.src || '|' || s.shard || '|' || i), i) AS place
-  FROM shards AS s LEFT JOIN won AS w ON s.src = w.src AND s.shard = w.shard, range(0, 1000000) AS r(i) WHERE i < s.n
-), cut AS (SELECT src, shard, i * words // n AS lo, (i + 1) * words // n AS hi, q // n + CASE WHEN place <= q % n THEN 1 ELSE 0 END AS times FROM units)
+  SELECT src, shard, shard // 1024 AS bundle, CAST(sum(size) AS BIGINT) AS words FROM placed GROUP BY src, shard HAVING sum(size) > 0
+), bundles AS (SELECT src, bundle, sum(words) AS words, any_value(blocks) AS blocks FROM shards JOIN seats USING (src) GROUP BY src, bundle),
+q2 AS (
+  SELECT src, bundle, row_number() OVER (PARTITION BY src ORDER BY words::DOUBLE / (2 * k + 1) DESC, bundle) AS p, blocks
+  FROM bundles, range(0, 10000000) AS r(k) WHERE k <= words // 4 + 4
+), won AS (SELECT src, bundle, count(*) AS blocks FROM q2 WHERE p <= blocks GROUP BY src, bundle),
+q3 AS (
+  SELECT src, bundle, shard, row_number() OVER (PARTITION BY src, bundle ORDER BY s.words::DOUBLE / (2 * k + 1) DESC, shard) AS p, blocks
+  FROM shards AS s JOIN won USING (src, bundle), range(0, 10000000) AS r(k) WHERE k <= s.words // 4 + 4
+), got AS (SELECT src, shard, count(*) AS seats FROM q3 WHERE p <= blocks GROUP BY src, shard),
+runs AS (
+  SELECT s.src, s.shard, words, n, least(coalesce(seats, 0), 2 * n) AS seats, CAST(('0x' || substr(md5('mix-1|' || s.src || '|' || s.shard || '|run'), 1, 15)) AS BIGINT) % n AS f
+  FROM (SELECT *, greatest(1, CAST(round(words / 8.0) AS BIGINT)) AS n FROM shards) AS s LEFT JOIN got AS g ON s.src = g.src AND s.shard = g.shard
+), cuts AS (
+  SELECT src, shard, seats // n AS each, f * words // n AS lo, least(f + seats % n, n) * words // n AS hi, greatest(f + seats % n - n, 0) * words // n AS again FROM runs
+)
 SELECT p.doc_id, p.size, CAST(p.source_size AS BIGINT) AS source_size, p.target,
-       CAST(coalesce((SELECT sum(times * (least(hi, p.before + p.size) - greatest(lo, p.before))) FROM cut AS c
-         WHERE c.src = p.src AND c.shard = p.shard AND c.lo < p.before + p.size AND c.hi > p.before), 0) AS BIGINT) AS taken
-FROM put AS p
+       CAST(coalesce(each * p.size + greatest(0, least(hi, before + p.size) - greatest(lo, before)) + greatest(0, least(again, before + p.size) - before), 0) AS BIGINT) AS taken
+FROM put AS p LEFT JOIN cuts AS c ON c.src = p.src AND c.shard = p.shard
 """

@@ -23,7 +23,7 @@ KIND[48:58] = DIGIT
 KIND[SPACE] = 0
 WHOLE = np.zeros(256, bool)
 WHOLE[[39, 60, 127, 0xC2, *range(0xC4, 256), *(b for b in range(32) if not SPACE[b])]] = True
-CACHED_IDS = 1 << 24
+CACHED_IDS = 1 << 22
 JOINED = 256
 
 
