@@ -140,16 +140,36 @@ def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(5, 24))
     rows = [(i, [float(x) for x in (centres[i % 5] + rng.normal(size=24) * 0.2 if i % 4 else np.ones(24) * 0.25)]) for i in range(300)]
-    rows += [(300, None), (301, [1.0, None] + [0.0] * 22), (302, [float("nan")] * 24), (303, [float("inf")] * 24), (350, [1.0, 2.0]), (400, [0.5, -1.0]), (None, [1.0] * 24), (450, []), (500, [1e300] * 24)]
+    rows += [(300, None), (301, [1.0, None] + [0.0] * 22), (302, [float("nan")] * 24), (303, [float("inf")] * 24), (350, [1.0, 2.0]), (400, [0.5, -1.0]), (None, [1.0] * 24), (450, []), (500, [1e300] * 24), (501, [300_000.0] + [-1.0] * 23), (550, [-3e9] + [0.1] * 23)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("r", "q", "id", "v", "meeting", "score")})
     found = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(frame, F.col("vec_id") % 50 == 0).collect()}
-    good = {i: [math.floor(256 * x) for x in v] for i, v in rows[:300] + [(350, [1.0, 2.0]), (400, [0.5, -1.0]), (450, [])]}
+    good = {i: [256 * int(x) if abs(x) > 1e15 else math.floor(256 * x) for x in v] for i, v in rows[:300] + rows[304:] if i is not None}
+    fit = lambda x: max(-(2**63), min(2**63 - 1, x))
     expected = {}
     for q in (x for x in good if x % 50 == 0):
-        scored = sorted((-sum(a * b for a, b in zip(good[q], v)), i) for i, v in good.items() if i != q and len(v) == len(good[q]))
+        scored = sorted((-fit(sum(a * b for a, b in zip(good[q], v))), i) for i, v in good.items() if i != q and len(v) == len(good[q]))
         expected |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(scored[:5])}
     assert found == expected
     assert topk.top_k(frame.limit(0), F.lit(True)).count() == 0
+    few = spark.createDataFrame([(50, [1.0, 1.0]), (1, [300000.0, 2.0]), (2, [3.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in topk.top_k(few, F.col("vec_id") == 50).orderBy("rank").collect()] == [1, 2]
+
+
+def test_top_k_ties_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 7)
+    monkeypatch.setattr(topk, "QUERIES", 2)
+    monkeypatch.setattr(topk, "AT_ONCE", 1)
+    rows = [(i % 40, [float(i % 3), 1.0]) for i in range(80)]  # every id twice
+    found = sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 6).collect())
+    whole = [(i, [int(256 * x) for x in v]) for i, v in rows]
+    expected = []
+    for q, a in whole:
+        if q % 20 == 0:
+            expected.append((q, sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in whole if i != q)[:6]))
+    assert len(found) == 6 * len({q for q, _ in expected})  # repeated queries share their ranks
+    for q in (0, 20):
+        best = sorted(x for p, found_here in expected if p == q for x in found_here)[:6]
+        assert [(-s, i) for p, _, i, s in found if p == q] == best
 
 
 def test_classes_against_brute_force(docs):
