@@ -18,10 +18,10 @@ A document is the set of its distinct 5-word shingles (64-bit hashes). Two sets
     pairs, filtered by size and by the place of the common shingle; pairs are expanded to members and
     verified with whole sets.
 5.  *Links, not pairs.* Only links between components matter, so each group is first compared with one other: of the
-    centres of its lists (a group chosen by hash, another one in each round) that which it meets most often. Sets
-    already connected are never compared again: thousands of near copies cost a few comparisons each. A last
-    round compares all that are still apart in the lists if what they share in the prefixes leaves a link
-    possible, so no link is lost.
+    centres of its lists (groups chosen by hash, others in each round) that which it meets most often; later, where it is
+    still apart from others of its lists, with a few. Sets already connected are never compared again: thousands of near
+    copies cost some comparisons each. A last round compares all that are still apart in the lists if what
+    they share in the prefixes leaves a link possible, so no link is lost.
 
 Between documents a shingle is the number of its bucket and 40 or 48 more bits of its hash, 48 altogether at least. That
 only matters within a pair: two sets of 400 shingles share one by chance once in 1.7e9 pairs, and it changes the answer only where
@@ -43,11 +43,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.components import components
-from tessella.llm.session import n_partitions, settings, shared_dir, small_batches, written
+from tessella.llm.session import n_partitions, released, settings, shared_dir, small_batches, written
 from tessella.llm.textblock import U64, blocks, mix, shingle_sets
 
 WIDTH, PERCENT = 5, 80
@@ -55,7 +55,7 @@ CHUNK = 4096
 BUCKET_BYTES = 8 << 20
 MANY_BUCKETS = 256  # from here on 40 bits of the hash go with the bucket's number
 TEXT_BYTES_A_SHINGLE = 7
-ROUNDS = 5
+ROUNDS, CENTRES = 4, 16
 SPARE = 8
 PART_SETS = 4096
 CHUNK_SHINGLES = 1 << 20
@@ -188,7 +188,7 @@ def _dealt(docs: DataFrame, width: int, seed: int, n: int) -> DataFrame:
         for k, (ids, sets) in enumerate(_chunks(batches, width)):
             yield _cells(ids, sets, seed, n, (part << 24) + k)  # chunks of equal sets have names of their own
 
-    return docs.mapInArrow(run, CELL_DDL).repartitionById(n, F.col("place"))
+    return docs.mapInArrow(released(run), CELL_DDL).repartitionById(n, F.col("place"))
 
 
 def code(often: np.ndarray) -> np.ndarray:
@@ -241,7 +241,7 @@ def _answered(dealt: DataFrame, n: int) -> DataFrame:
         if rows["chunk"]:
             yield _packed(rows, pa.schema(CELL))
 
-    return dealt.mapInArrow(run, CELL_DDL).repartitionById(n, F.col("place"))
+    return dealt.mapInArrow(released(run), CELL_DDL).repartitionById(n, F.col("place"))
 
 
 def needed(n: int, percent: int) -> int:
@@ -303,7 +303,7 @@ def _at_home(answers: DataFrame, n_buckets: int, percent: int) -> DataFrame:
         for name, row in heads.items():
             yield from of_chunk(row, answers.pop(name, []))
 
-    return answers.mapInArrow(run, FOUND_DDL)
+    return answers.mapInArrow(released(run), FOUND_DDL)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -322,20 +322,20 @@ def _near(percent: int):
 
 
 def _enough(percent: int):
-    """Condition on a pair of groups with the prefixes p, r: what these share, with all that can follow the last of it, is enough for a link."""
-    both = "array_intersect(p, r)"
+    """Condition on a pair of groups with the prefixes p, q: what these share, with all that can follow the last of it, is enough for a link."""
+    both = "array_intersect(p, q)"
     after = lambda size, own, prefix: f"{size} - {own} - array_position({prefix}, element_at({both}, -1))"
-    most = f"size({both}) + least({after('n', 'own', 'p')}, {after('m', 'others', 'r')})"
+    most = f"size({both}) + least({after('n', 'own', 'p')}, {after('m', 'others', 'q')})"
     return F.expr(f"size({both}) > 0 and {100 + percent} * ({most}) >= {percent} * (n + m)")
 
 
 def _unlike_lists(lists: DataFrame) -> DataFrame:
-    """Of lists with the same groups one, each group at its first place in any of them: near copies share hundreds of shingles,
+    """Of lists with the same entries one, each entry at its first place in any of them: near copies share hundreds of shingles,
     and their lists would yield every pair as often."""
-    mark = lambda k: F.sum(F.xxhash64("g", F.lit(k)).cast("decimal(20,0)")).alias(f"mark{k}")
+    mark = lambda k: F.sum(F.xxhash64("r", F.lit(k)).cast("decimal(20,0)")).alias(f"mark{k}")
     same = lists.groupBy("token").agg(mark(1), mark(2)).groupBy("mark1", "mark2").agg(F.collect_list("token").alias("tokens"))
     same = same.select(F.array_min("tokens").alias("list"), F.explode("tokens").alias("token"))
-    return lists.join(same, "token").groupBy("list", "g").agg(F.min("i").alias("i"), F.first("n").alias("n"), F.first("c").alias("c"))
+    return lists.join(same, "token").groupBy("list", "r").agg(F.min("i").alias("i"), *[F.first(x).alias(x) for x in ("g", "n", "c")])
 
 
 def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -371,37 +371,40 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         fresh = stars.join(classes.select(F.col("set").alias("old")), "old", "left_anti").select(F.col("old").alias("set"), F.col("new").alias("class"))
         return kept(moved.union(fresh))
 
-    def open_lists(lists: DataFrame) -> DataFrame:
-        """Lists with the class of each group (null: its members are of several), where more than one is left."""
-        of_groups = known(members, "set", "c").groupBy("g").agg(F.min("c").alias("c"), F.max("c").alias("d"))
-        of_groups = of_groups.select("g", F.when(F.col("c") == F.col("d"), F.col("c")).alias("c"))
-        with_class = lists.select("token", "g", "n", "i").join(of_groups, "g")
-        apart = with_class.groupBy("token").agg(F.min("c").alias("c"), F.max("c").alias("d"), F.count_if(F.col("c").isNull()).alias("split"), F.count(F.lit(1)).alias("size"))
-        apart = apart.filter("split > 0 or c <> d").select("token", "size")
-        return kept(with_class.join(apart, "token"))
+    def entries(lists: DataFrame) -> DataFrame:
+        """Of lists whose members are still apart: of each group (g) and class (c) in it one member (r)."""
+        of_class = known(members, "set", "c").groupBy("g", "c").agg(F.min("set").alias("r"))
+        with_class = lists.join(of_class, "g")
+        apart = with_class.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count(F.lit(1)).alias("size")).filter("least <> most")
+        return kept(with_class.join(apart.select("token", "size"), "token"))
 
-    now, postings = open_lists(lists), None
+    now, postings = entries(lists.select("token", "g", "n", "i")), None
     for turn in range(ROUNDS):
         sums = now.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("squares")).head()
         postings = postings or sums["n"]
         if turn and (sums["squares"] or 0) <= SPARE * postings:
             break
-        centre = F.min_by(F.struct("g", "n", "i", "c"), F.struct(F.xxhash64("g", F.lit(turn)), F.col("g"))).alias("z")
-        centres = now.groupBy("token").agg(centre).select("token", F.col("z.g").alias("a"), F.col("z.n").alias("m"), F.col("z.i").alias("j"), F.col("z.c").alias("d"))
-        met = now.join(centres, "token").filter(F.col("g") != F.col("a")).filter(_near(percent)).filter("c is null or d is null or c <> d")
-        pairs = met.groupBy("g", "a").agg(F.count(F.lit(1)).alias("times")).groupBy("g").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", F.col("g").alias("b"))
+        many = CENTRES if turn else 1  # the first round is of all groups, the others of those still apart
+        centre = [F.min_by(F.struct("r", "n", "i", "c"), F.struct(F.xxhash64("r", F.lit(turn), F.lit(k)), F.col("r"))) for k in range(many)]
+        centres = now.groupBy("token").agg(F.array_distinct(F.array(*centre)).alias("z")).select("token", F.explode("z").alias("z"))
+        centres = centres.select("token", F.col("z.r").alias("a"), F.col("z.n").alias("m"), F.col("z.i").alias("j"), F.col("z.c").alias("d"))
+        met = now.join(centres, "token").filter("c <> d").filter(_near(percent))
+        often = F.row_number().over(Window.partitionBy("r").orderBy(F.col("times").desc(), F.xxhash64("a", F.lit(turn))))  # no more than lists and centres
+        pairs = met.groupBy("r", "a").agg(F.count(F.lit(1)).alias("times")).withColumn("place", often).filter(F.col("place") <= many)
+        pairs = pairs.select(F.least("a", "r").alias("a"), F.greatest("a", "r").alias("b"))
         if not turn:
             pairs = pairs.union(members.filter("set <> g").select(F.col("g").alias("a"), F.col("set").alias("b")))
-        classes = join_up(pairs)
-        now = open_lists(now)
+        classes = join_up(pairs.distinct())
+        now = entries(now.select("token", "g", "n", "i").distinct())
     now = kept(_unlike_lists(now))
-    other = now.select("list", F.col("g").alias("h"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("d"))
-    pairs = now.join(other, "list").filter("g < h or (g = h and c is null)").filter("c is null or d is null or c <> d").filter(_near(percent)).select("g", "h").distinct()
+    other = now.select("list", F.col("r").alias("s"), F.col("g").alias("h"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("d"))
+    pairs = now.join(other, "list").filter("r < s and c <> d").filter(_near(percent)).select("r", "g", "s", "h").distinct()
     pairs = pairs.join(groups.select("g", "n", "own", F.col("prefix").alias("p")), "g")
-    pairs = pairs.join(groups.select(F.col("g").alias("h"), F.col("n").alias("m"), F.col("own").alias("others"), F.col("prefix").alias("r")), "h").filter(_enough(percent)).select("g", "h")
-    mine = known(members, "set", "x").select("g", F.col("set").alias("a"), "x")
-    its = known(members, "set", "y").select(F.col("g").alias("h"), F.col("set").alias("b"), "y")
-    pairs = pairs.join(mine, "g").join(its, "h").filter("x <> y and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.join(groups.select(F.col("g").alias("h"), F.col("n").alias("m"), F.col("own").alias("others"), F.col("prefix").alias("q")), "h").filter(_enough(percent)).select("r", "s")
+    of_entry = known(members, "set", "c")
+    of_entry = of_entry.join(of_entry.groupBy("g", "c").agg(F.min("set").alias("r")), ["g", "c"]).select("r", "set")
+    mine, its = of_entry.select("r", F.col("set").alias("a")), of_entry.select(F.col("r").alias("s"), F.col("set").alias("b"))
+    pairs = pairs.join(mine, "r").join(its, "s").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return join_up(pairs)
 
 

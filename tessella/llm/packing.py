@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.session import small_batches, written
+from tessella.llm.session import released, small_batches, written
 from tessella.llm.subwords import encoder
 from tessella.llm.token_files import crc32, with_end
 
@@ -44,7 +44,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
             before += len(ids)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(encode, "part long, before long, doc_id long, ids binary")
+    return docs.mapInArrow(released(encode), "part long, before long, doc_id long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
@@ -76,7 +76,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, length: int = LENGTH
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * with_ids, names + ["ids"] * with_ids)
 
-    return table.mapInArrow(cut, PIECES + ", ids binary" * with_ids)
+    return table.mapInArrow(released(cut), PIECES + ", ids binary" * with_ids)
 
 
 def padding(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
