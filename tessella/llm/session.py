@@ -70,15 +70,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(size, str(BATCH_BYTES))
 
 
+def trim() -> None:
+    """Gives memory that this process no longer uses back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give_back(0)
+
+
 def released(run):
-    """``run`` (batches to batches), giving memory that it no longer uses back to the machine when its task ends: workers live on, and share an executor."""
+    """``run`` (batches to batches), trimming memory when its task ends: workers live on, and share an executor."""
 
     @functools.wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        trim()
 
     return wrapped
 

@@ -22,10 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.session import small_batches, written
+from tessella.llm.session import released, small_batches, trim, written
 from tessella.llm.textblock import LENGTH_SALT, LOWER, U64, Block, blocks, mix, powers
 
 SAMPLE = 16_000
@@ -197,13 +198,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features:
     total = F.col("pos") + F.col("neg")
     z = F.abs(F.col("pos") - total * share) / F.sqrt(total * share * (1 - share))
     best = (
-        rows.select("toxic", "text").mapInArrow(counted, "feature long, pos int, neg int")
+        rows.select("toxic", "text").mapInArrow(released(counted), "feature long, pos int, neg int")
         .groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         .filter(total >= LEAST_TEXTS)
         .orderBy(z.desc(), "feature").limit(n_features)
-        .collect()
+        .select("feature").toArrow()
     )
-    hashes = np.sort(np.array([r["feature"] for r in best], np.int64).view(U64))
+    hashes = np.sort(best.column("feature").to_numpy().astype(np.int64).view(U64))
     blank = Model(hashes, np.zeros(len(hashes)), 0.0)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,14 +217,30 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features:
                 swaps[i].append(places)
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(out[0], pa.list_(pa.int32())), pa.array(swaps, pa.list_(pa.list_(pa.int32())))], ["toxic", "at", "swaps"])
 
-    seen = rows.select("toxic", "text").mapInArrow(listed, "toxic int, at array<int>, swaps array<array<int>>").collect()  # at most `sample` rows
-    seen.sort(key=lambda r: (r["toxic"], r["at"]))
-    at = [np.array(r["at"], np.int64) for r in seen]
-    pairs = [(i, np.array(x, np.int64)) for i, r in enumerate(seen) for x in r["swaps"]]
-    weights, intercept = fit(at, np.array([r["toxic"] for r in seen], float), pairs, len(hashes))
+    # of each sampled row a few hundred numbers, as Arrow arrays; a doc_id that documents repeat counts as often
+    seen = rows.select("toxic", "text").mapInArrow(released(listed), "toxic int, at array<int>, swaps array<array<int>>").toArrow()
+    y = seen.column("toxic").to_numpy()
+    at = _arrays(seen.column("at"))
+    swaps = seen.column("swaps").combine_chunks()
+    owner = np.repeat(np.arange(len(at)), pa.compute.list_value_length(swaps).to_numpy(zero_copy_only=False))
+    after = _arrays(swaps.flatten())
+    order = sorted(range(len(at)), key=lambda i: (y[i], at[i].tobytes()))  # for any order of rows the same sums
+    place = np.empty(len(at), np.int64)
+    place[order] = np.arange(len(at))
+    pairs = sorted(((int(place[i]), x) for i, x in zip(owner, after, strict=True)), key=lambda p: (p[0], p[1].tobytes()))
+    weights, intercept = fit([at[i] for i in order], y[order].astype(float), pairs, len(hashes))
+    del seen, at, after, pairs, swaps
+    trim()
     return Model(hashes, weights, intercept)
 
 
+def _arrays(lists: pa.Array) -> list[np.ndarray]:
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+    return np.split(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.cumsum(sizes)[:-1]) if len(lists) else []
+
+
 def _lists(model: Model, texts: pa.Array) -> list[list[int]]:
     out: list[list[int]] = []
     for block in blocks(texts):
