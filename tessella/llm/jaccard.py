@@ -58,7 +58,7 @@ TEXT_BYTES_A_SHINGLE = 7
 ROUNDS, CENTRES = 4, 16
 SPARE = 8
 PART_SETS = 4096
-CHUNK_SHINGLES = 1 << 20
+CHUNK_SHINGLES = 1 << 19
 
 
 def set_hashes(sets: list[np.ndarray], seed: int) -> tuple[np.ndarray, np.ndarray]:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Only on one machine, as in tests, where the session names no folder of its own.
 LOCAL_SHARED_DIR = "/tmp/checkpoints/tessella"
-BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

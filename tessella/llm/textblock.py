@@ -15,7 +15,7 @@ import pyarrow as pa
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 LENGTH_SALT = U64(0xD1342543DE82EF95)
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
