@@ -19,11 +19,11 @@ class BadQuestion(ValueError):
 
 
 class Ambiguous(ValueError):
-    """A name fits several symbols; ``matches`` holds them."""
+    """A name fits several symbols; ``matches`` has all of them as rows (id, path, qualified_name), not collected here."""
 
-    def __init__(self, name: str, matches: list):
-        super().__init__(f"{name} fits {len(matches)} symbols")
-        self.matches = matches
+    def __init__(self, name: str, count: int, matches: DataFrame):
+        super().__init__(f"{name} fits {count} symbols")
+        self.count, self.matches = count, matches
 
 
 class Engine:
@@ -35,9 +35,9 @@ class Engine:
 
     def _symbol(self, name: str, in_file: str | None) -> DataFrame:
         found = graph.select_symbol(self.nodes.filter("kind = 'symbol'"), name, in_file)
-        few = found.select("id", "path", "qualified_name").orderBy("path", "qualified_name", "id").limit(20).collect()
-        if len(few) > 1:
-            raise Ambiguous(name, few)
+        count = found.count()
+        if count > 1:
+            raise Ambiguous(name, count, found.select("id", "path", "qualified_name").orderBy("path", "qualified_name", "id"))
         return found.select("id")
 
     def graph_query(self, depth: int = 1, in_file: str | None = None, **selector: str) -> DataFrame:
@@ -80,7 +80,7 @@ class Engine:
 
     def meta_suggest(self, text: str, limit: int = 20) -> DataFrame:
         spark = self.files.sparkSession
-        tokens = spark.createDataFrame([(text,)], "x string").select(F.explode(t.identifier_tokens(F.col("x"))).alias("token"))
+        tokens = spark.createDataFrame([(text,)], "x string").select(F.explode(t.words(F.col("x"))).alias("token"))
         return inventory.suggest(self.files, tokens, limit)
 
     def knowledge_query(self, question: str, limit: int = 20, history: bool = False) -> DataFrame:

@@ -94,11 +94,15 @@ def words(text: Column, least: int = 2) -> Column:
     return F.array_distinct(F.filter(found, lambda x: F.length(x) >= least))
 
 
+#: Where identifiers are cut, one after the other.
+IDENTIFIER_CUTS = (r"(?<=[0-9A-Za-z])(?=[A-Z][a-z])", r"(?<=[a-z])(?=[A-Z0-9])")
+
+
 def identifier_tokens(name: Column, least: int = 2) -> Column:
-    """Words of an identifier: cut at case changes, digits and punctuation."""
-    apart = F.regexp_replace(F.regexp_replace(name, r"(?<=[a-z0-9])(?=[A-Z])", " "), r"(?<=[A-Z])(?=[A-Z][a-z])", " ")
-    apart = F.regexp_replace(F.regexp_replace(apart, r"(?<=[A-Za-z])(?=[0-9])", " "), r"(?<=[0-9])(?=[A-Za-z])", " ")
-    return F.array_distinct(F.filter(F.split(F.lower(apart), r"[^\p{L}\p{N}]+"), lambda x: F.length(x) >= least))
+    """Words of an identifier: cut at punctuation, before capitalised words and where a lower-case letter is followed by a capital or a digit."""
+    for cut in IDENTIFIER_CUTS:
+        name = F.regexp_replace(name, cut, " ")
+    return F.array_distinct(F.filter(F.split(F.lower(name), r"[^\p{L}\p{N}]+"), lambda x: F.length(x) >= least))
 
 
 def query_terms(text: Column, stop: list[str]) -> Column:

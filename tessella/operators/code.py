@@ -29,8 +29,15 @@ def unique_candidate(rows: DataFrame, key: str, endings: list[str], known: DataF
     return found.filter("n = 1").drop("n")
 
 
+def _bound(function: ast.FunctionDef | ast.AsyncFunctionDef) -> Iterator[str]:
+    """Names of a function's parameters and of what it assigns, at any depth."""
+    own = function.args
+    yield from (a.arg for a in (*own.posonlyargs, *own.args, *own.kwonlyargs, own.vararg, own.kwarg) if a is not None)
+    yield from (x.id for x in ast.walk(function) if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Store))
+
+
 def _parse(path: str, text: str) -> Iterator[tuple]:
-    """Rows of one Python file: symbols, imports, calls."""
+    """Rows of one Python file: symbols, imports, calls (alias "bound" where the outermost function binds the name itself), module-level aliases of names."""
     row = lambda **x: tuple(x.get(c.split()[0]) for c in PARSED.split(", "))
     try:
         tree = ast.parse(text)
@@ -38,18 +45,21 @@ def _parse(path: str, text: str) -> Iterator[tuple]:
         yield row(path=path, parse_status="error", kind="file")
         return
     yield row(path=path, parse_status="ok", kind="file")
-    waiting: list[tuple[ast.AST, tuple[str, ...], str | None, str | None]] = [(tree, (), None, None)]
+    for node in tree.body:
+        if isinstance(node, ast.Assign) and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name) and isinstance(node.value, ast.Name):
+            yield row(path=path, parse_status="ok", kind="alias", name=node.value.id, alias=node.targets[0].id, start_line=node.lineno)
+    waiting: list[tuple[ast.AST, tuple[str, ...], str | None, str | None, frozenset[str]]] = [(tree, (), None, None, frozenset())]
     while waiting:
-        node, scope, inside, caller = waiting.pop()
+        node, scope, inside, caller, bound = waiting.pop()
         for child in ast.iter_child_nodes(node):
-            below, holder, who = scope, inside, caller
+            below, holder, who, held = scope, inside, caller, bound
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 name = ".".join((*scope, child.name))
                 kind = "class" if isinstance(child, ast.ClassDef) else "method" if inside == "class" else "function"
                 yield row(path=path, parse_status="ok", kind=kind, name=child.name, qualified_name=name, parent=".".join(scope), start_line=child.lineno, end_line=child.end_lineno)
                 below, holder = (*scope, child.name), "class" if kind == "class" else "function"
                 if kind != "class" and (caller is None):
-                    who = name
+                    who, held = name, frozenset(_bound(child))
             elif isinstance(child, ast.Import):
                 for a in child.names:
                     yield row(path=path, parse_status="ok", kind="import", module=a.name, name=None, alias=a.asname or a.name.split(".")[0], level=0, start_line=child.lineno)
@@ -61,8 +71,8 @@ def _parse(path: str, text: str) -> Iterator[tuple]:
                 own = isinstance(f, ast.Attribute) and isinstance(f.value, ast.Name) and f.value.id == "self"
                 name = f.id if isinstance(f, ast.Name) else f.attr if own else None
                 if name:
-                    yield row(path=path, parse_status="ok", kind="self_call" if own else "call", name=name, caller=caller, parent=".".join(scope[:-1]), start_line=child.lineno)
-            waiting.append((child, below, holder, who))
+                    yield row(path=path, parse_status="ok", kind="self_call" if own else "call", name=name, caller=caller, parent=".".join(scope[:-1]), alias="bound" if name in bound else None, start_line=child.lineno)
+            waiting.append((child, below, holder, who, held))
 
 
 def parsed_python(files: DataFrame) -> DataFrame:
@@ -80,9 +90,13 @@ def parsed_python(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInPandas(run, PARSED)
 
 
+#: Fixed value: how a script names what it imports.
+SCRIPT_IMPORT = r"""(?:import\s+(?:[^'"]+\s+from\s+)?|require\()\s*['"]([^'"]+)['"]"""
+
+
 def script_imports(files: DataFrame) -> DataFrame:
-    """path, raw: what JavaScript and TypeScript files import, export from or require."""
-    found = F.regexp_extract_all("text", F.lit(r"(?:from\s+|import\s+|require\(\s*|import\(\s*)['\"]([^'\"]+)['\"]"), 1)
+    """path, raw: what JavaScript and TypeScript files import or require."""
+    found = F.regexp_extract_all("text", F.lit(SCRIPT_IMPORT), 1)
     return files.select("path", F.explode(F.array_distinct(found)).alias("raw"))
 
 
@@ -129,18 +143,21 @@ def resolved_scripts(imports: DataFrame, files: DataFrame) -> DataFrame:
 def calls(parsed: DataFrame, resolved: DataFrame) -> DataFrame:
     """path, caller, target_path, target: calls of functions of the same file, of methods through self, of imported functions.
 
-    A call inside a function counts for the outermost one. Calls of itself are left out; a call that fits
-    several functions resolves to none.
+    Functions are those of a module's top level, also by an alias of the module; a call inside a function counts for the
+    outermost one, and methods call through self only. Names that the caller binds itself aren't those imported. Calls of
+    itself are left out; a call that fits several functions resolves to none.
     """
     functions = parsed.filter("kind = 'function' and parent = ''").select("path", "name")
     methods = parsed.filter("kind = 'method'").select("path", "name", "parent", "qualified_name")
-    plain = parsed.filter("kind = 'call' and caller is not null").select("path", "caller", "name")
-    same = plain.join(functions, ["path", "name"]).filter("caller <> name").select("path", "caller", F.col("path").alias("target_path"), F.col("name").alias("target"))
+    plain = parsed.filter("kind = 'call' and caller is not null and not contains(caller, '.')").select("path", "caller", "name", "alias")
+    aliases = parsed.filter("kind = 'alias'").join(functions, ["path", "name"]).groupBy("path", F.col("alias").alias("name")).agg(F.max_by("name", "start_line").alias("meant"))
+    meant = plain.join(aliases, ["path", "name"], "left").select("path", "caller", F.coalesce("meant", "name").alias("name"))
+    same = meant.join(functions, ["path", "name"]).filter("caller <> name").select("path", "caller", F.col("path").alias("target_path"), F.col("name").alias("target"))
     through = parsed.filter("kind = 'self_call' and caller is not null").select("path", "caller", "name", "parent")
     own = through.join(methods, ["path", "name", "parent"]).filter("caller <> qualified_name").select("path", "caller", F.col("path").alias("target_path"), F.col("qualified_name").alias("target"))
     imported = resolved.select("path", F.col("alias"), F.col("name").alias("imported"), "target")
     there = functions.select(F.col("path").alias("target"), F.col("name").alias("imported"))
-    unshadowed = plain.join(functions, ["path", "name"], "left_anti")
+    unshadowed = plain.filter("alias is null").drop("alias").join(functions, ["path", "name"], "left_anti")
     far = unshadowed.join(imported, (unshadowed["path"] == imported["path"]) & (unshadowed["name"] == imported["alias"])).select(unshadowed["path"], "caller", "imported", "target")
     far = far.join(there, ["target", "imported"]).groupBy("path", "caller", "imported").agg(F.countDistinct("target").alias("n"), F.min("target").alias("target_path"))
     far = far.filter("n = 1").select("path", "caller", "target_path", F.col("imported").alias("target"))

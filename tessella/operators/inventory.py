@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions import text as t
+from tessella.operators.retrieval import small
+
 #: Classes in order of precedence.
 CLASSES = ("excluded", "excluded_override", "annotated", "annotation_required", "indexed_only")
 
@@ -60,13 +63,24 @@ def facets(files: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
     return files.withColumn("score", score.cast("long"))
 
 
+#: Points of a word in the base name, else in the path; in the annotation; in the policy's defaults; of an annotated file with points.
+BASE_POINTS, PATH_POINTS, NOTE_POINTS, DEFAULT_POINTS, ANNOTATED_POINTS = 8, 5, 10, 4, 3
+
+
 def suggest(files: DataFrame, tokens: DataFrame, limit: int) -> DataFrame:
-    """Files by how their path meets ``tokens`` (token): 8 in the base name, else 5 in the path; 3 more where annotated."""
-    met = files.join(F.broadcast(tokens), F.contains(F.lower("path"), F.col("token")))
-    base = F.lower(F.element_at(F.split("path", "/"), -1))
-    points = F.when(F.contains(base, F.col("token")), 8).otherwise(5)
-    scored = met.groupBy("path", "annotated").agg(F.sum(points).alias("score"))
-    scored = scored.withColumn("score", F.col("score") + F.when(F.col("annotated"), 3).otherwise(0))
+    """Files by how whole words of their path, annotation and policy defaults meet ``tokens`` (token, a question's few words).
+
+    files: path, annotated; note (text of the annotation) and defaults (text) where there are any. Words are joined by equality.
+    """
+    none = F.array().cast("array<string>")
+    base, path = t.identifier_tokens(F.element_at(F.split("path", "/"), -1)), t.identifier_tokens(F.col("path"))
+    note = F.when(F.col("annotated"), t.identifier_tokens(F.col("note"))) if "note" in files.columns else none
+    defaults = t.identifier_tokens(F.col("defaults")) if "defaults" in files.columns else none
+    pointed = lambda words, n: F.transform(F.coalesce(words, none), lambda x: F.struct(x.alias("token"), F.lit(n).alias("points")))
+    each = F.concat(pointed(base, BASE_POINTS), pointed(F.array_except(path, base), PATH_POINTS), pointed(note, NOTE_POINTS), pointed(defaults, DEFAULT_POINTS))
+    words = files.select("path", "annotated", F.inline(each)).join(small(tokens.distinct()), "token")
+    scored = words.groupBy("path", "annotated").agg(F.sum("points").alias("score"))
+    scored = scored.withColumn("score", F.col("score") + F.when(F.col("annotated"), ANNOTATED_POINTS).otherwise(0))
     return scored.orderBy(F.col("score").desc(), "path").limit(max(0, limit))
 
 

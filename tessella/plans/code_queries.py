@@ -11,9 +11,9 @@ from tessella.registry import query
 SOURCES = [
     ("lib/__init__.py", ""),
     ("lib/marks.py", "import json\nfrom os import path as p\n\n\ndef make(x):\n    return check(x)\n\n\ndef check(x):\n    return json.dumps(x)\n"),
-    ("app/main.py", "from lib.marks import make as build\nfrom . import side\nimport lib.marks\n\n\nclass Runner:\n    def go(self):\n        return self.step()\n\n    def step(self):\n        return build(1)\n\n\ndef start():\n    def inner():\n        return Runner()\n    return build(inner())\n"),
+    ("app/main.py", "from lib.marks import make as build\nfrom . import side\nimport lib.marks\n\n\nclass Runner:\n    def go(self):\n        return self.step()\n\n    def step(self):\n        return build(1)\n\n\ndef start():\n    def inner():\n        return Runner()\n    return build(inner())\n\n\nbegin = start\n\n\ndef again():\n    return begin()\n\n\ndef hidden(build):\n    return build(2)\n"),
     ("app/side.py", "def start(:\n"),
-    ("web/src/client.ts", "import { token } from './api/token';\nexport * from \"../shared\";\nconst x = require('./missing');\n"),
+    ("web/src/client.ts", "import { token } from './api/token';\nexport * from \"../unseen\";\nimport * as s from \"../shared\";\nconst x = require('./missing');\n"),
     ("web/src/api/token.ts", "export const token = 1;\n"),
     ("web/shared/index.ts", "export {};\n"),
 ]
@@ -39,7 +39,7 @@ def ast_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.parsed_python(sources(spark, ".py")).filter("kind = 'file'").select("path", "parse_status")
 
 
-@query("ast_calls", "SELECT * FROM (VALUES ('lib/marks.py', 'make', 'lib/marks.py', 'check'), ('app/main.py', 'Runner.go', 'app/main.py', 'Runner.step'), ('app/main.py', 'Runner.step', 'lib/marks.py', 'make'), ('app/main.py', 'start', 'lib/marks.py', 'make')) AS x(path, caller, target_path, target)")
+@query("ast_calls", "SELECT * FROM (VALUES ('lib/marks.py', 'make', 'lib/marks.py', 'check'), ('app/main.py', 'Runner.go', 'app/main.py', 'Runner.step'), ('app/main.py', 'start', 'lib/marks.py', 'make'), ('app/main.py', 'again', 'app/main.py', 'start')) AS x(path, caller, target_path, target)")
 def ast_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.calls(*_resolved(spark))
 

@@ -83,11 +83,16 @@ def facet_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.facets(p, {"p_brand": ["Brand#11", "Brand#12", "Brand#21"], "p_size": [1, 5, 10, 20, 30, 40, 50]}).select("p_partkey", "score")
 
 
-@query("suggest_tokens", f"""SELECT path, CAST(sum(CASE WHEN contains(regexp_extract(path, '[^/]*$'), token) THEN 8 ELSE 5 END) + max(CASE WHEN n_chars > 3000 THEN 3 ELSE 0 END) AS BIGINT) AS score
-FROM ({FILES_SQL}) AS f JOIN (VALUES ('src1'), ('en'), ('7')) AS q(token) ON contains(path, token) GROUP BY path ORDER BY score DESC, path LIMIT 50""")
+@query("suggest_tokens", f"""WITH w AS (SELECT *, string_split_regex(regexp_replace(path, '([a-z])([0-9])', '\\1 \\2', 'g'), '[^a-z0-9]+') AS p,
+string_split_regex(regexp_replace(regexp_extract(path, '[^/]*$'), '([a-z])([0-9])', '\\1 \\2', 'g'), '[^a-z0-9]+') AS b FROM ({FILES_SQL}) AS f)
+SELECT path, CAST(sum(CASE WHEN list_contains(b, token) THEN 8 WHEN list_contains(p, token) THEN 5 ELSE 0 END
++ CASE WHEN n_chars > 3000 AND list_contains(['notes', 'on', lang], token) THEN 10 ELSE 0 END + CASE WHEN token = lang THEN 4 ELSE 0 END) + max(CASE WHEN n_chars > 3000 THEN 3 ELSE 0 END) AS BIGINT) AS score
+FROM w, (VALUES ('md'), ('en'), ('77')) AS q(token)
+WHERE list_contains(p, token) OR token = lang OR (n_chars > 3000 AND list_contains(['notes', 'on', lang], token)) GROUP BY path ORDER BY score DESC, path LIMIT 50""")
 def suggest_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = spark.createDataFrame([("src1",), ("en",), ("7",)], "token string")
-    return inventory.suggest(files(spark, sf_dir).withColumn("annotated", F.col("n_chars") > 3000), tokens, 50).select("path", "score")
+    tokens = spark.createDataFrame([("md",), ("en",), ("77",)], "token string")
+    noted = files(spark, sf_dir).withColumns({"annotated": F.col("n_chars") > 3000, "note": F.concat_ws(" ", F.lit("notes on"), "lang"), "defaults": F.col("lang")})
+    return inventory.suggest(noted, tokens, 50).select("path", "score")
 
 
 @query("path_shards", f"SELECT substr(sha256(path), 1, 1) AS shard, CAST(count(*) AS BIGINT) AS n FROM ({FILES_SQL}) AS f GROUP BY 1")
