@@ -431,7 +431,7 @@ def _classified(docs: DataFrame, width: int, percent: int, seed: int = 0) -> tup
     if not sets.filter("n <> m or mark <> other").isEmpty():
         return _classified(docs, width, percent, seed + 1)
     # dozens of small joins: sending a side to all would fill the driver with what it keeps of each
-    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "1m"}):
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "4m"}):
         classes = links(found.filter("p is not null").select("set", "n", "own", "p", "tokens"), percent)
     named = sets.filter("n > 0").select("set", "least").join(classes, "set", "left").withColumn("class", F.coalesce("class", "set"))
     names = named.groupBy("class").agg(F.min("least").alias("component"))
