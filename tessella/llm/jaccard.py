@@ -55,7 +55,7 @@ CHUNK = 4096
 BUCKET_BYTES = 8 << 20
 MANY_BUCKETS = 256  # from here on 40 bits of the hash go with the bucket's number
 TEXT_BYTES_A_SHINGLE = 7
-ROUNDS, CENTRES = 4, 16
+ROUNDS, CENTRES = 4, 8
 SPARE = 8
 PART_SETS = 4096
 CHUNK_SHINGLES = 1 << 19
