@@ -386,7 +386,8 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
             break
         many = CENTRES if turn else 1  # the first round is of all groups, the others of those still apart
         centre = [F.min_by(F.struct("r", "n", "i", "c"), F.struct(F.xxhash64("r", F.lit(turn), F.lit(k)), F.col("r"))) for k in range(many)]
-        centres = now.groupBy("token").agg(F.array_distinct(F.array(*centre)).alias("z")).select("token", F.explode("z").alias("z"))
+        centres = now.groupBy("token").agg(*[x.alias(f"z{k}") for k, x in enumerate(centre)])
+        centres = centres.withColumnRenamed("z0", "z") if many == 1 else centres.select("token", F.explode(F.array_distinct(F.array(*[f"z{k}" for k in range(many)]))).alias("z"))
         centres = centres.select("token", F.col("z.r").alias("a"), F.col("z.n").alias("m"), F.col("z.i").alias("j"), F.col("z.c").alias("d"))
         met = now.join(centres, "token").filter("c <> d").filter(_near(percent))
         often = F.row_number().over(Window.partitionBy("r").orderBy(F.col("times").desc(), F.xxhash64("a", F.lit(turn))))  # no more than lists and centres
