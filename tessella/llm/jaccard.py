@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.components import components
-from tessella.llm.session import n_partitions, released, settings, shared_dir, small_batches, written
+from tessella.llm.session import let_go, n_partitions, released, settings, shared_dir, small_batches, written
 from tessella.llm.textblock import U64, blocks, mix, shingle_sets
 
 WIDTH, PERCENT = 5, 80
@@ -397,6 +397,7 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
             pairs = pairs.union(members.filter("set <> g").select(F.col("g").alias("a"), F.col("set").alias("b")))
         classes = join_up(pairs.distinct())
         now = entries(now.select("token", "g", "n", "i").distinct())
+        let_go(spark)
     now = kept(_unlike_lists(now))
     other = now.select("list", F.col("r").alias("s"), F.col("g").alias("h"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("d"))
     pairs = now.join(other, "list").filter("r < s and c <> d").filter(_near(percent)).select("r", "g", "s", "h").distinct()
@@ -426,13 +427,14 @@ def _classified(docs: DataFrame, width: int, percent: int, seed: int = 0) -> tup
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).head()["bytes"] or 0
     n = max(1, n_partitions(spark), math.ceil(6 * size / TEXT_BYTES_A_SHINGLE / BUCKET_BYTES))
     n = max(n, MANY_BUCKETS) if n > MANY_BUCKETS // 4 else n
+    let_go(spark)
     found = written(_at_home(_answered(_dealt(docs, width, seed, n), n), n, percent), "jaccard-sets")
     rows = found.filter("p is null").select("doc_id", "n", "set", "mark")
     sets = rows.groupBy("set").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.max("n").alias("m"), F.min("mark").alias("mark"), F.max("mark").alias("other"))
     if not sets.filter("n <> m or mark <> other").isEmpty():
         return _classified(docs, width, percent, seed + 1)
     # dozens of small joins: sending a side to all would fill the driver with what it keeps of each
-    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "4m"}):
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "2m"}):
         classes = links(found.filter("p is not null").select("set", "n", "own", "p", "tokens"), percent)
     named = sets.filter("n > 0").select("set", "least").join(classes, "set", "left").withColumn("class", F.coalesce("class", "set"))
     names = named.groupBy("class").agg(F.min("least").alias("component"))
