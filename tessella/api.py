@@ -83,7 +83,7 @@ class Engine:
         tokens = spark.createDataFrame([(text,)], "x string").select(F.explode(t.words(F.col("x"))).alias("token"))
         return inventory.suggest(self.files, tokens, limit)
 
-    def knowledge_query(self, question: str, limit: int = 20, history: bool = False) -> DataFrame:
+    def knowledge_query(self, question: str, limit: int = 10, history: bool = False) -> DataFrame:
         """Records by how many of the question's words their id, title, claim and summary hold; history shows superseded and deprecated ones too."""
         status = lifecycle.folded_status(self.events, "record_id")
         told = self.events.groupBy("record_id").agg(F.bool_or(F.col("type") == "superseded").alias("a"), F.bool_or(F.col("type") == "deprecated").alias("b"))
@@ -92,10 +92,10 @@ class Engine:
         rows = rows.withColumn("status", derived).drop("a", "b")
         if not history:
             rows = rows.filter(~F.col("status").isin("superseded", "deprecated"))
-        terms = F.array_sort(t.query_terms(F.lit(question), rules.STOPWORDS))
+        terms = F.array_sort(t.query_terms(F.lit(question), rules.KNOWLEDGE_STOPWORDS))
         # Weights of the fields, and of a reviewed record
         fields = (("record_id", 1.0), ("title", 2.4), ("claim", 2.0), ("summary", 1.2))
-        share = lambda c: F.size(F.filter(terms, lambda x: F.contains(F.lower(F.col(c).cast("string")), x))) / F.greatest(F.lit(1), F.size(terms))
+        share = lambda c: F.size(F.filter(terms, lambda x: F.contains(F.lower(F.col(c).cast("string")), F.lower(x)))) / F.greatest(F.lit(1), F.size(terms))
         score = sum((F.coalesce(share(c), F.lit(0.0)) * w for c, w in fields), F.lit(0.0)) + F.when(F.col("status") == "approved", 0.5).otherwise(0.0)
         return rows.withColumn("score", F.round(score, 6)).filter("score > 0").orderBy(F.col("score").desc(), "record_id").limit(max(0, limit))
 

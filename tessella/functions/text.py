@@ -106,9 +106,9 @@ def identifier_tokens(name: Column, least: int = 2) -> Column:
 
 
 def query_terms(text: Column, stop: list[str]) -> Column:
-    """Distinct terms of a query: names, paths and Hangul words of two characters and more, without stop words."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9_./:-]+|[가-힣]+)"), 1)
-    return F.array_distinct(F.filter(found, lambda x: (F.length(x) >= 2) & ~x.isin(stop)))
+    """Distinct terms of a query as they are spelled: names, paths and Hangul words of two characters and more, without stop words."""
+    found = F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9_./:-]+|[가-힣]+)"), 1)
+    return F.array_distinct(F.filter(found, lambda x: (F.length(x) >= 2) & ~F.lower(x).isin(stop)))
 
 
 def seeds(text: Column, stop: list[str], most: int = 12) -> Column:

@@ -47,8 +47,8 @@ def expanded_terms(questions: DataFrame, key: str, text: str, stop: list[str], s
 
 def exact_hits(docs: DataFrame, questions: DataFrame, haystack: Column) -> DataFrame:
     """Each document with each question (q, terms) of which it holds a term, and the share of terms it holds."""
-    met = docs.withColumn("__hay", F.lower(haystack)).join(small(questions), F.expr("exists(terms, x -> contains(__hay, x))"))
-    hits = F.expr("size(filter(terms, x -> contains(__hay, x)))")
+    met = docs.withColumn("__hay", F.lower(haystack)).join(small(questions), F.expr("exists(terms, x -> contains(__hay, lower(x)))"))
+    hits = F.expr("size(filter(terms, x -> contains(__hay, lower(x))))")
     return met.withColumn("exact", hits / F.size("terms")).drop("__hay", "terms")
 
 

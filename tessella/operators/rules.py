@@ -10,6 +10,9 @@ from tessella.functions import text as t
 # Words left out of questions.
 STOPWORDS = ["a", "an", "and", "after", "are", "does", "file", "files", "for", "from", "function", "functions", "how", "if", "impact", "impacted", "is", "of", "the", "to", "what", "why", "change", "changed", "changes"]
 
+# Words left out of questions to the knowledge records.
+KNOWLEDGE_STOPWORDS = ["a", "an", "and", "are", "for", "from", "how", "is", "of", "the", "to", "what", "why"]
+
 # A term that holds the needle adds the others.
 SYNONYMS = {
     "authority": ["authoritative", "source"],

@@ -33,7 +33,7 @@ def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.chunks(table(spark, sf_dir, "documents"), "doc_id", "text", head).select("doc_id", "section", "line_start", "line_end", "chars")
 
 
-_TERM = "unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_./:-]+'), lambda x: length(x) >= 2 AND x NOT IN ('the', 'and', 'of', 'for'))))"
+_TERM = "unnest(list_distinct(list_filter(regexp_extract_all(text, '[A-Za-z0-9_./:-]+'), lambda x: length(x) >= 2 AND lower(x) NOT IN ('the', 'and', 'of', 'for'))))"
 
 
 @query("term_expand", f"""WITH t AS (SELECT item_id, {_TERM} AS term FROM benchmark), s AS (SELECT * FROM (VALUES ('tion', 'action'), ('ing', 'doing'), ('eaux', 'eau')) AS x(needle, other))
