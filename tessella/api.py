@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as t
-from tessella.operators import graph, inventory, lifecycle, retrieval, rules
+from tessella.operators import context, graph, inventory, lifecycle, retrieval, rules
 
 SELECTORS = ("file", "topic", "raw_import", "symbol", "callers_of", "callees_of", "impact_file", "impact_symbol")
 
@@ -62,17 +62,31 @@ class Engine:
         return {"symbol": graph.incident, "callers_of": graph.callers_of, "callees_of": graph.callees_of}[kind](self.edges, symbol)
 
     def context_query(self, question: str, budget_tokens: int = 3000, limit: int = 40) -> DataFrame:
-        """path, section, rank, score, tokens of the evidence packed into the budget, best first."""
+        """path, section, rank, score, tokens, group_name of the evidence packed into the budget, best first; with nodes and edges also by the graph."""
         spark = self.evidence.sparkSession
         asked = spark.createDataFrame([(0, question)], "q int, question string")
         terms = retrieval.expanded_terms(asked, "q", "question", rules.STOPWORDS, rules.synonyms(spark)).groupBy("q").agg(F.array_sort(F.collect_list("term")).alias("terms"))
-        hay = F.concat_ws(" ", "path", "section", "text")
-        hits = retrieval.exact_hits(self.evidence, terms, hay)
-        score = retrieval.final_score(F.col("exact"), F.lit(0.0), rules.authority(F.col("path"), F.col("kind"), F.col("section")), F.lit(0.0), F.lit(False))
-        scored = hits.withColumn("score", F.round(score, 6)).select("q", "path", "section", "line_start", "score", t.token_estimate(F.col("text")).alias("tokens"))
+        asked = asked.join(terms, "q")
+        evidence = self.evidence.withColumn("id", F.concat_ws("\n", "kind", "path", "section", "line_start"))
+        nodes = spark.createDataFrame([], "q int, id string, graph double")
+        if self.nodes is not None and self.edges is not None:
+            values = F.array_compact(F.array("id", "kind", "name", "qualified_name", "path"))
+            flags = asked.select("q", context.is_code_question(F.col("terms")).alias("is_code"), context.holds_any(F.lower("question"), context.ON_CALLS).alias("on_calls"))
+            by_node = context.graph_scores(self.edges, context.node_matches(self.nodes.select("id", values.alias("values")), asked.select("q", "terms")), flags)
+            named = by_node.select("q", F.concat(F.lit("<graph:"), "id", F.lit(">")).alias("path"), "graph")
+            nodes = named.join(evidence.filter("kind = 'graph_node'").select("path", "id"), "path").select("q", "id", "graph")
+        body = evidence.select("id", F.concat_ws(" ", "path", "section", "text").alias("text"))
+        found = context.scores(evidence, asked, context.text_scores(body, asked), nodes).select("q", "id", F.round("score", 6).alias("score"))
+        group = context.group_name(F.col("kind"), F.col("path"), F.col("section"), F.col("text"), F.lit(False))
+        shown = evidence.select("id", "path", "section", "line_start", t.token_estimate(F.col("text")).alias("tokens"), group.alias("group_name"))
+        scored = found.join(shown, "id")
         best = retrieval.top(scored, "q", [F.col("score").desc(), F.col("path"), F.col("section"), F.col("line_start")], limit)
         taken = retrieval.packed(best, "q", "rank", "tokens", budget_tokens).select(F.col("rank").alias("__rank"))
-        return best.join(taken, F.col("rank") == F.col("__rank"), "left_semi").select("path", "section", "rank", "score", "tokens").orderBy("rank")
+        return best.join(taken, F.col("rank") == F.col("__rank"), "left_semi").select("path", "section", "rank", "score", "tokens", "group_name").orderBy("rank")
+
+    def context_mode(self, question: str, asked: str = "") -> str:
+        """What the question is about: the mode asked for, else by its words."""
+        return self.evidence.sparkSession.range(1).select(context.mode(F.lit(question), F.lit(asked)).alias("mode")).head()["mode"]
 
     def meta_query(self, limit: int = 20, **wanted: list[str]) -> DataFrame:
         """Files by facets: of every facet one of the values, best first."""

@@ -37,6 +37,7 @@ QUESTION_TOKEN = r"([A-Za-z_][A-Za-z0-9_./:-]*|[./][A-Za-z0-9_./:-]+)"
 # Words of questions on the product and on decisions, and what these add to evidence.
 ON_PRODUCT = ["project", "product", "architecture", "current", "recent", "최근", "현재", "프로젝트", "구조", "결정"]
 ON_DECISION = ["decision", "decisions", "why", "invariant", "failure", "receipt", "결정", "불변식", "장애", "실패", "검증"]
+ON_CALLS = ["call", "function", "impact"]
 MISMATCH, SHORT_TEXT, SHORT_WORDS = 0.3, 0.3, 5
 NODE_BOOST = 0.4
 MUST_READ_SECTIONS = ["decision", "authority rules", "future layer rules"]
@@ -102,6 +103,22 @@ def text_score(bm25: Column, n_words: Column) -> Column:
     return F.when(n_words < SHORT_WORDS, SHORT_TEXT).otherwise(1.0) / (1 + F.abs(bm25))
 
 
+def text_scores(evidence: DataFrame, questions: DataFrame, pattern: str = r"([\p{L}\p{N}]+)", most: int = 50) -> DataFrame:
+    """q, id, fts of the ``most`` best texts of each question by BM25: ``evidence`` (id, text), ``questions`` (q, terms).
+
+    Terms of several words meet nothing here. Only words of the questions leave the scan.
+    """
+    tokens = evidence.select("id", F.regexp_extract_all(F.lower("text"), F.lit(pattern), 1).alias("tokens"))
+    size = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean")).head()
+    words = questions.select("q", F.explode("terms").alias("word")).select("q", F.lower("word").alias("word")).distinct()
+    wanted = F.array(*[F.lit(r["word"]) for r in retrieval.small(words.select("word").distinct()).collect()]).cast("array<string>")
+    found = tokens.select(F.col("id").alias("doc"), F.size("tokens").alias("length"), F.explode(F.filter("tokens", lambda x: F.array_contains(wanted, x))).alias("word"))
+    found = found.groupBy("doc", "length", "word").agg(F.count(F.lit(1)).alias("f"))
+    best = retrieval.top(retrieval.bm25(found, words, size["n"], size["mean"] or 1.0), "q", [F.round("score", 6).desc(), F.col("doc")], most)
+    length = tokens.select(F.col("id").alias("doc"), F.size("tokens").alias("length"))
+    return best.join(length, "doc").select("q", F.col("doc").alias("id"), text_score(F.col("score"), F.col("length")).alias("fts"))
+
+
 def node_matches(nodes: DataFrame, questions: DataFrame) -> DataFrame:
     """q, id, score for ``nodes`` (id, values) and ``questions`` (q, terms): 1 for a value that is a term, 0.5 for one within the values."""
     met = nodes.withColumn("__all", F.lower(F.array_join("values", " "))).join(retrieval.small(questions), F.expr("arrays_overlap(values, terms) or exists(terms, x -> length(x) >= 3 and contains(__all, lower(x)))"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators import context, retrieval, rules
+from tessella.operators import context, rules
 from tessella.plans import graph_queries as g
 from tessella.plans.retrieval_queries import BM25_SQL, TERMS_SQL
 from tessella.registry import query, table
@@ -94,14 +94,8 @@ t AS (SELECT q, id, 2 * exact0 * w + 1.2 * fts0 * w + authority + CASE WHEN is_c
 SELECT q, id, round(score, 6)::DOUBLE AS score FROM t WHERE score > 0""")
 def context_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = spark.createDataFrame(list(enumerate(QUESTIONS)), "q int, question string").withColumn("terms", context.terms(F.col("question")))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1).alias("tokens"))
-    size = d.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean")).head()
-    words = asked.select("q", F.explode("terms").alias("word")).select("q", F.lower("word").alias("word")).distinct()
-    wanted = F.array(*[F.lit(r["word"]) for r in words.select("word").distinct().collect()])  # of the stated questions
-    found = d.select("doc", F.size("tokens").alias("length"), F.explode(F.filter("tokens", lambda x: F.array_contains(wanted, x))).alias("word")).groupBy("doc", "length", "word").agg(F.count(F.lit(1)).alias("f"))
-    best = retrieval.top(retrieval.bm25(found, words, size["n"], size["mean"] or 1.0), "q", [F.round("score", 6).desc(), F.col("doc")], 50)
-    best = best.join(d.select("doc", F.size("tokens").alias("length")), "doc").select("q", F.col("doc").alias("id"), context.text_score(F.col("score"), F.col("length")).alias("fts"))
     e = evidence(spark, sf_dir)
+    best = context.text_scores(e, asked, "([a-z0-9]+)")
     nodes = e.filter("kind = 'graph_node' and lang = 'en'").select(F.explode(F.array(F.lit(1), F.lit(2))).alias("q"), "id", F.lit(1.0).alias("graph"))
     return context.scores(e, asked, best, nodes).select("q", "id", F.round("score", 6).alias("score"))
 
