@@ -87,9 +87,14 @@ def impact(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
 
 
 def impact_paths(edges: DataFrame, reached: DataFrame, depth: int) -> DataFrame:
-    """Every step out of a node reached below ``depth``: (src, dst, kind, depth), a step met on two levels twice."""
+    """Every step out of a node reached below ``depth``: (src, dst, kind, depth), a step met on two levels twice.
+
+    A definition both of whose ends are on one level is stepped from the definer only.
+    """
     at = reached.filter(F.col("depth") < depth).select(F.col("id").alias("at"), (F.col("depth") + 1).alias("depth"))
-    return impact_steps(edges).join(at, "at").select(F.col("at").alias("src"), F.col("next").alias("dst"), "kind", "depth")
+    told = at.select(F.col("at").alias("next"), "depth", F.lit(3).alias("rank"))
+    steps = impact_steps(edges).join(at, "at").join(told, ["next", "depth", "rank"], "left_anti")
+    return steps.select(F.col("at").alias("src"), F.col("next").alias("dst"), "kind", "depth")
 
 
 def neighborhood(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:

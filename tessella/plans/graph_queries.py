@@ -86,7 +86,7 @@ def graph_symbol_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STEPS_SQL = f"""e AS ({EDGES_SQL}),
-steps AS (SELECT dst AS here, src AS nxt FROM e WHERE kind IN ('CALLS', 'IMPORTS_FILE') UNION ALL SELECT src, dst FROM e WHERE kind = 'DEFINES' UNION ALL SELECT dst, src FROM e WHERE kind = 'DEFINES')"""
+steps AS (SELECT dst AS here, src AS nxt, FALSE AS back FROM e WHERE kind IN ('CALLS', 'IMPORTS_FILE') UNION ALL SELECT src, dst, FALSE FROM e WHERE kind = 'DEFINES' UNION ALL SELECT dst, src, TRUE FROM e WHERE kind = 'DEFINES')"""
 
 
 def _levels(depth: int, seeds: str) -> str:
@@ -118,7 +118,7 @@ def graph_impact_d3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.impact(edges(spark, sf_dir), _urgent(spark, sf_dir), 3)
 
 
-@query("graph_impact_paths", f"WITH {STEPS_SQL}, {_levels(2, URGENT)}, r AS ({_all_levels(2)}) SELECT here AS src, nxt AS dst, depth + 1 AS depth FROM steps JOIN r ON here = id WHERE depth < 2")
+@query("graph_impact_paths", f"WITH {STEPS_SQL}, {_levels(2, URGENT)}, r AS ({_all_levels(2)}) SELECT here AS src, nxt AS dst, depth + 1 AS depth FROM steps JOIN r ON here = id WHERE depth < 2 AND NOT (back AND EXISTS (SELECT 1 FROM r AS o WHERE o.id = nxt AND o.depth = r.depth))")
 def graph_impact_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir)
     return graph.impact_paths(e, graph.impact(e, _urgent(spark, sf_dir), 2), 2).select("src", "dst", "depth")

@@ -146,3 +146,10 @@ def test_every_page_has_a_node_id(spark, sf_dir):
     assert {r["page_id"]: r["id"] for r in QUERIES["node_ids_all"](spark, sf_dir).collect()} == want
     odd = "a=1&b#c%20+é~*☃😀"
     assert one(spark, t.percent_encoded(F.lit(odd))) == quote(odd, safe="")
+
+
+def test_a_definition_within_a_level_is_stepped_once(spark):
+    edges = spark.createDataFrame([("DEFINES", "f", "a"), ("DEFINES", "f", "b"), ("CALLS", "b", "a")], "kind string, src string, dst string")
+    reached = spark.createDataFrame([("a", 0), ("f", 1), ("b", 1)], "id string, depth int")
+    found = sorted(map(tuple, graph.impact_paths(edges, reached, 2).collect()))
+    assert found == [("a", "b", "CALLS", 1), ("a", "f", "DEFINES", 1), ("f", "a", "DEFINES", 2), ("f", "b", "DEFINES", 2)]
