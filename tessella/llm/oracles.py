@@ -98,3 +98,62 @@ SELECT p.doc_id, p.size, CAST(p.source_size AS BIGINT) AS source_size, p.target,
        CAST(coalesce(each * p.size + greatest(0, least(hi, before + p.size) - greatest(lo, before)) + greatest(0, least(again, before + p.size) - before), 0) AS BIGINT) AS taken
 FROM put AS p LEFT JOIN cuts AS c ON c.src = p.src AND c.shard = p.shard
 """
+
+COLLOCATIONS = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d
+), g AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3]) AS k))
+), f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase
+), c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND f >= 10
+), longer AS (
+  SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS longest FROM (SELECT lang, a, w, unnest([1, 2]) AS i FROM c WHERE k = 3) GROUP BY 1, 2
+), kept AS (
+  SELECT c.* FROM c LEFT JOIN longer USING (lang, phrase) WHERE longest IS NULL OR 100 * longest < 50 * a
+), cuts AS (
+  SELECT *, array_to_string(w[1:cut], ' ') AS first, array_to_string(w[cut + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept)
+), s AS (
+  SELECT cuts.lang, cuts.phrase, a, cut, x.f AS l, y.f AS r, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts JOIN f AS x ON x.lang = cuts.lang AND x.phrase = cuts.first JOIN f AS y ON y.lang = cuts.lang AND y.phrase = cuts.rest
+), one AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM one JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+RESAMPLING = r"""
+WITH crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i))
+), x AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), y AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), fx AS (
+  SELECT row, feature, count(*) AS n FROM (SELECT row, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS feature FROM x) GROUP BY row, feature
+), fy AS (SELECT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS feature FROM y
+), b AS (
+  SELECT feature, xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(feature)), lambda k: CAST('0x' || substr(hex(encode(feature)), 2 * k + 1, 2) AS BIGINT))),
+    lambda c, o: xor(c >> 8, t[1 + (xor(c, o) & 255)])), 4294967295) % 10000 AS bucket
+  FROM (SELECT feature FROM fx UNION SELECT feature FROM fy), crc
+), s AS (SELECT bucket, sum(n) AS s FROM fx JOIN b USING (feature) GROUP BY bucket
+), t AS (SELECT bucket, count(*) AS t FROM fy JOIN b USING (feature) GROUP BY bucket
+), gain AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (coalesce((SELECT sum(s) FROM s), 0) + 10000)::DOUBLE / ((s + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket)
+), sums AS (SELECT row, CAST(sum(n * gain) AS BIGINT) AS total FROM fx JOIN b USING (feature) JOIN gain USING (bucket) GROUP BY row
+), d AS (
+  SELECT doc_id, len(w) AS words, greatest(2 * len(w) - 1, 0) AS n_features,
+    CASE WHEN len(w) = 0 THEN 0 ELSE (total - ((total % (2 * len(w) - 1)) + (2 * len(w) - 1)) % (2 * len(w) - 1)) // (2 * len(w) - 1) END AS weight,
+    CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM x LEFT JOIN sums USING (row)
+), scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d
+), placed AS (
+  SELECT *, CASE WHEN words >= 20 THEN row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS LAST, weight, n_features) END AS place FROM scored
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+  CASE WHEN place <= 25 * (SELECT count(*) FROM d WHERE words >= 20) // 100 THEN place END AS rank
+FROM placed
+"""

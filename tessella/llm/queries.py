@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, oracles
+from tessella.llm import chat, collocations, oracles, resampling
 from tessella.llm.fingerprints import next_and_edited
 from tessella.llm.jaccard import near_duplicates
 from tessella.llm.mixing import mix
@@ -83,6 +83,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_top_k": op2_top_k,
@@ -94,9 +102,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_preferences": op5_preferences,
     "op6_lm_scores": op6_lm_scores,
     "op7_token_files": op7_token_files,
+    "op12_collocations": op12_collocations,
+    "op13_resampling": op13_resampling,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_top_k": oracles.TOP_K,
     "op5_preferences": oracles.PREFERENCES,
     "op10_mixing": oracles.MIXING,
+    "op12_collocations": oracles.COLLOCATIONS,
+    "op13_resampling": oracles.RESAMPLING,
 }
