@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, collocations, oracles, resampling
+from tessella.llm import chat, collocations, extraction, oracles, resampling
 from tessella.llm.fingerprints import next_and_edited
 from tessella.llm.jaccard import near_duplicates
 from tessella.llm.mixing import mix
@@ -83,6 +83,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_text(table(spark, sf_dir, "pages"), extraction.default_model())
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -102,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_preferences": op5_preferences,
     "op6_lm_scores": op6_lm_scores,
     "op7_token_files": op7_token_files,
+    "op11_main_text": op11_main_text,
     "op12_collocations": op12_collocations,
     "op13_resampling": op13_resampling,
 }
