@@ -4,12 +4,24 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 LOCAL = "/tmp/checkpoints/tessella"
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
-    """An unused path in the folder that ``spark.checkpoint.dir`` names; a local one where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or LOCAL
+    """An unused path in the folder that ``spark.checkpoint.dir`` names; a local one only where all runs on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = LOCAL
     return f"{found.rstrip('/')}/tessella-{what}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, what: str) -> DataFrame:
+    """The rows of ``df`` as a table in the shared folder: computed once, and safe from lost executors."""
+    spark = df.sparkSession
+    path = fresh_path(spark, what)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
