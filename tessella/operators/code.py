@@ -48,31 +48,47 @@ def _parse(path: str, text: str) -> Iterator[tuple]:
     for node in tree.body:
         if isinstance(node, ast.Assign) and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name) and isinstance(node.value, ast.Name):
             yield row(path=path, parse_status="ok", kind="alias", name=node.value.id, alias=node.targets[0].id, start_line=node.lineno)
-    waiting: list[tuple[ast.AST, tuple[str, ...], str | None, str | None, frozenset[str]]] = [(tree, (), None, None, frozenset())]
+    # direct: nothing but the module, or a class of the module's own body, lies around; only such functions are callers
+    waiting: list[tuple[ast.AST, tuple[str, ...], str | None, str | None, frozenset[str], bool]] = [(tree, (), None, None, frozenset(), True)]
     while waiting:
-        node, scope, inside, caller, bound = waiting.pop()
+        node, scope, inside, caller, bound, direct = waiting.pop()
         for child in ast.iter_child_nodes(node):
-            below, holder, who, held = scope, inside, caller, bound
+            below, holder, who, held, plain = scope, inside, caller, bound, False
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 name = ".".join((*scope, child.name))
                 kind = "class" if isinstance(child, ast.ClassDef) else "method" if inside == "class" else "function"
                 yield row(path=path, parse_status="ok", kind=kind, name=child.name, qualified_name=name, parent=".".join(scope), start_line=child.lineno, end_line=child.end_lineno)
                 below, holder = (*scope, child.name), "class" if kind == "class" else "function"
-                if kind != "class" and (caller is None):
+                plain = kind == "class" and node is tree
+                if kind != "class" and direct:
                     who, held = name, frozenset(_bound(child))
             elif isinstance(child, ast.Import):
                 for a in child.names:
-                    yield row(path=path, parse_status="ok", kind="import", module=a.name, name=None, alias=a.asname or a.name.split(".")[0], level=0, start_line=child.lineno)
+                    yield row(path=path, parse_status="ok", kind="import", module=a.name, name=None, alias=a.asname or a.name.split(".")[0], level=0, parent="" if node is tree else "*", start_line=child.lineno)
             elif isinstance(child, ast.ImportFrom):
                 for a in child.names:
-                    yield row(path=path, parse_status="ok", kind="import", module=child.module or "", name=a.name, alias=a.asname or a.name, level=child.level, start_line=child.lineno)
+                    yield row(path=path, parse_status="ok", kind="import", module=child.module or "", name=a.name, alias=a.asname or a.name, level=child.level, parent="" if node is tree else "*", start_line=child.lineno)
             elif isinstance(child, ast.Call):
                 f = child.func
                 own = isinstance(f, ast.Attribute) and isinstance(f.value, ast.Name) and f.value.id == "self"
                 name = f.id if isinstance(f, ast.Name) else f.attr if own else None
                 if name:
-                    yield row(path=path, parse_status="ok", kind="self_call" if own else "call", name=name, caller=caller, parent=".".join(scope[:-1]), alias="bound" if name in bound else None, start_line=child.lineno)
-            waiting.append((child, below, holder, who, held))
+                    owner = caller.rpartition(".")[0] if caller else None
+                    yield row(path=path, parse_status="ok", kind="self_call" if own else "call", name=name, caller=caller, parent=owner, alias="bound" if name in bound else None, start_line=child.lineno)
+                if dotted := _dotted(f):
+                    yield row(path=path, parse_status="ok", kind="called", name=dotted, start_line=child.lineno)
+            waiting.append((child, below, holder, who, held, plain))
+
+
+def _dotted(node: ast.AST) -> str:
+    """What a call names, with what it is an attribute of as far as that has names."""
+    parts: list[str] = []
+    while isinstance(node, ast.Attribute):
+        parts.append(node.attr)
+        node = node.value
+    if isinstance(node, ast.Name):
+        parts.append(node.id)
+    return ".".join(reversed(parts))
 
 
 def parsed_python(files: DataFrame) -> DataFrame:
@@ -143,27 +159,95 @@ def resolved_scripts(imports: DataFrame, files: DataFrame) -> DataFrame:
 def calls(parsed: DataFrame, resolved: DataFrame) -> DataFrame:
     """path, caller, target_path, target: calls of functions of the same file, of methods through self, of imported functions.
 
-    Functions are those of a module's top level, also by an alias of the module; a call inside a function counts for the
-    outermost one, and methods call through self only. Names that the caller binds itself aren't those imported. Calls of
-    itself are left out; a call that fits several functions resolves to none.
+    Callers are the functions of a module's own body and the methods of its classes, for all calls anywhere inside. A name may
+    be a function of the file (also by an alias of the module) and an imported one as well: both are called. Names that the
+    caller binds itself aren't the imported ones. Of imports of one name in the module's body the last that is a single
+    function counts. Calls of itself are left out.
     """
-    functions = parsed.filter("kind = 'function' and parent = ''").select("path", "name")
-    methods = parsed.filter("kind = 'method'").select("path", "name", "parent", "qualified_name")
+    functions = parsed.filter("kind = 'function' and parent = ''").groupBy("path", "name").agg(F.count(F.lit(1)).alias("times"))
+    here = functions.select("path", "name")
+    methods = parsed.filter("kind = 'method' and parent <> '' and not contains(parent, '.')").select("path", "name", "parent", "qualified_name").distinct()
     plain = parsed.filter("kind = 'call' and caller is not null and not contains(caller, '.')").select("path", "caller", "name", "alias")
-    aliases = parsed.filter("kind = 'alias'").join(functions, ["path", "name"]).groupBy("path", F.col("alias").alias("name")).agg(F.max_by("name", "start_line").alias("meant"))
+    aliases = parsed.filter("kind = 'alias'").join(here, ["path", "name"]).groupBy("path", F.col("alias").alias("name")).agg(F.max_by("name", "start_line").alias("meant"))
     meant = plain.join(aliases, ["path", "name"], "left").select("path", "caller", F.coalesce("meant", "name").alias("name"))
-    same = meant.join(functions, ["path", "name"]).filter("caller <> name").select("path", "caller", F.col("path").alias("target_path"), F.col("name").alias("target"))
-    through = parsed.filter("kind = 'self_call' and caller is not null").select("path", "caller", "name", "parent")
+    same = meant.join(here, ["path", "name"]).filter("caller <> name").select("path", "caller", F.col("path").alias("target_path"), F.col("name").alias("target"))
+    through = parsed.filter("kind = 'self_call' and parent <> ''").select("path", "caller", "name", "parent")
     own = through.join(methods, ["path", "name", "parent"]).filter("caller <> qualified_name").select("path", "caller", F.col("path").alias("target_path"), F.col("qualified_name").alias("target"))
-    imported = resolved.select("path", F.col("alias"), F.col("name").alias("imported"), "target")
-    there = functions.select(F.col("path").alias("target"), F.col("name").alias("imported"))
-    unshadowed = plain.filter("alias is null").drop("alias").join(functions, ["path", "name"], "left_anti")
-    far = unshadowed.join(imported, (unshadowed["path"] == imported["path"]) & (unshadowed["name"] == imported["alias"])).select(unshadowed["path"], "caller", "imported", "target")
-    far = far.join(there, ["target", "imported"]).groupBy("path", "caller", "imported").agg(F.countDistinct("target").alias("n"), F.min("target").alias("target_path"))
-    far = far.filter("n = 1").select("path", "caller", "target_path", F.col("imported").alias("target"))
+    told = parsed.filter("kind = 'import' and parent = '' and name is not null").select("path", "module", "name", "alias", "level", "start_line")
+    there = functions.filter("times = 1").select(F.col("path").alias("target"), "name")
+    imported = told.join(resolved, ["path", "module", "name", "alias", "level"]).join(there, ["target", "name"])
+    imported = imported.groupBy("path", "alias").agg(F.max_by(F.struct("target", "name"), "start_line").alias("meant"))
+    far = plain.filter("alias is null").select("path", "caller", F.col("name").alias("alias")).join(imported, ["path", "alias"])
+    far = far.select("path", "caller", F.col("meant.target").alias("target_path"), F.col("meant.name").alias("target")).filter("path <> target_path or caller <> target")
     return same.unionByName(own).unionByName(far).distinct()
 
 
+#: A file's language by its ending, or by its whole name.
+LANGUAGES = {
+    "python": ["py"], "javascript": ["js", "jsx", "mjs", "cjs"], "typescript": ["ts", "tsx", "mts", "cts"], "shell": ["sh", "bash", "zsh"],
+    "markdown": ["md", "markdown"], "json": ["json"], "toml": ["toml"], "yaml": ["yaml", "yml"],
+}
+NAMED_LANGUAGES = {"Dockerfile": "dockerfile"}
+SCRIPTS = ["javascript", "typescript"]
+#: How scripts name functions, classes and variables, and what they call; words that aren't calls.
+SCRIPT_SYMBOL = r"\b(?:export\s+)?(?:async\s+)?(?:function|class)\s+([A-Za-z_$][\w$]*)|\b(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*="
+SCRIPT_CALL = r"\b([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)?)\s*\("
+NO_CALLS = ["if", "for", "while", "switch", "catch", "function"]
+#: Effects by the packages a file imports, and by what it calls.
+EFFECT_PACKAGES = {
+    "crypto": ["hashlib", "crypto", "bcrypt", "jwt"], "db": ["sqlite", "sqlite3", "psycopg", "mysql", "sqlalchemy", "prisma"],
+    "fs": ["os", "pathlib", "shutil", "fs"], "net": ["requests", "urllib", "http", "axios"], "time": ["time", "datetime"],
+}
+EFFECT_CALLS = {
+    "crypto": ["hashlib.sha256", "hashlib.md5", "crypto.createHash"], "db": ["execute", "executemany", "query", "transaction"], "fs": ["open", "read_text", "write_text", "readFile", "writeFile"],
+    "net": ["fetch", "axios", "requests.get", "requests.post", "urllib.request.urlopen"], "time": ["sleep", "datetime.now", "Date.now", "setTimeout", "setInterval"],
+}
+
+
+def language(path: Column) -> Column:
+    """The language of a file by its name; ``unknown`` for others."""
+    name = F.element_at(F.split(path, "/"), -1)
+    ending = F.lower(F.regexp_extract(name, r"^.+\.([^.]*)$", 1))
+    known = [F.when(name == k, v) for k, v in NAMED_LANGUAGES.items()] + [F.when(ending.isin(endings), k) for k, endings in LANGUAGES.items()]
+    return F.coalesce(*known, F.lit("unknown"))
+
+
+def _effects(imports: Column, called: Column) -> Column:
+    """Sorted effects: a package is meant by its name and by everything under it."""
+    under = lambda names: F.exists(imports, lambda x: F.concat(x, F.lit(".")).rlike(f"^({'|'.join(names)})\\."))
+    among = lambda names: F.exists(called, lambda x: x.isin(names))
+    by_import = [F.when(under(names), F.lit(effect)) for effect, names in EFFECT_PACKAGES.items()]
+    by_call = [F.when(among(names), F.lit(effect)) for effect, names in EFFECT_CALLS.items()]
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(*by_import, *by_call))))
+
+
+def file_index(files: DataFrame) -> DataFrame:
+    """path, language, status, symbols, imports, calls, packages, effects of ``files`` (path, text): sorted names, each once.
+
+    A Python file that can't be parsed has the status parse_error, one of another language skipped; both without names.
+    """
+    sorted_set = lambda x: F.array_sort(F.array_distinct(F.filter(x, lambda y: y != "")))
+    kinds = F.col("kind")
+    parsed = parsed_python(files.filter(language(F.col("path")) == "python"))
+    base = F.concat(F.repeat(F.lit("."), F.coalesce("level", F.lit(0))), "module")
+    raw = F.when(F.col("name").isNull(), F.col("module")).when(F.col("module") == "", F.concat(base, "name")).otherwise(F.concat_ws(".", base, "name"))
+    what = F.when(kinds.isin("class", "function", "method"), "symbol").when(kinds == "import", "import").when(kinds == "called", "call")
+    value = F.when(kinds == "import", raw).otherwise(F.col("name"))
+    named = parsed.groupBy("path", "parse_status").agg(*[F.collect_set(F.when(what == k, value)).alias(f"{k}s") for k in ("symbol", "import", "call")])
+    named = named.select("path", F.when(F.col("parse_status") == "ok", "ok").otherwise("parse_error").alias("status"), "symbols", "imports", "calls")
+    text, all_of = F.coalesce("text", F.lit("")), lambda pattern, i: F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?U){pattern}"), i)
+    scripts = files.filter(language(F.col("path")).isin(SCRIPTS)).select(
+        "path", F.lit("ok").alias("status"), F.concat(all_of(SCRIPT_SYMBOL, 1), all_of(SCRIPT_SYMBOL, 2)).alias("symbols"), F.regexp_extract_all(text, F.lit(SCRIPT_IMPORT), 1).alias("imports"),
+        F.filter(all_of(SCRIPT_CALL, 1), lambda x: ~x.isin(NO_CALLS)).alias("calls"),
+    )
+    none = F.array().cast("array<string>")
+    others = files.filter(~language(F.col("path")).isin("python", *SCRIPTS)).select("path", F.lit("skipped").alias("status"), none.alias("symbols"), none.alias("imports"), none.alias("calls"))
+    rows = named.unionByName(scripts).unionByName(others)
+    rows = rows.select("path", language(F.col("path")).alias("language"), "status", *[sorted_set(F.col(c)).alias(c) for c in ("symbols", "imports", "calls")])
+    packages = F.array_sort(F.array_distinct(F.filter(F.transform("imports", lambda x: F.substring_index(x, ".", 1)), lambda x: x != "")))
+    return rows.withColumn("packages", packages).withColumn("effects", _effects(F.col("imports"), F.col("calls")))
+
+
 def observed_effects(imports: DataFrame, calls: DataFrame, hints: DataFrame) -> DataFrame:
     """path, effects: hints (effect, module, call) that a file's imports begin with or its calls equal."""
     by_import = imports.join(F.broadcast(hints.filter("module is not null")), F.expr("imports_module = module or startswith(imports_module, concat(module, '.'))")).select("path", "effect")

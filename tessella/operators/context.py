@@ -169,8 +169,8 @@ def scores(evidence: DataFrame, questions: DataFrame, fts: DataFrame, nodes: Dat
 
 
 def group_name(kind: Column, path: Column, section: Column, text: Column, has_path: Column) -> Column:
-    """Which group of a bundle evidence belongs to."""
-    p, s, x = F.lower(path), F.lower(section), F.lower(text)
+    """Which group of a bundle evidence belongs to; of its text the excerpt counts."""
+    p, s, x = F.lower(path), F.lower(section), F.lower(t.excerpt(text))
     return (
         F.when((kind == "graph_query") & has_path, "callers_and_dependents")
         .when(kind.isin("graph_node", "graph_query"), "likely_change_surface")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from tessella.functions import text as t
+from tessella.operators import index
 from tessella.operators.retrieval import small
 
 #: Classes in order of precedence.
@@ -54,13 +56,28 @@ def topics(files: DataFrame, rules: DataFrame) -> DataFrame:
     return met.groupBy("path").agg(F.array_join(F.array_distinct(F.transform(found, lambda x: x["topic"])), ",").alias("topics"))
 
 
+#: Points of each value met (or of being listed at all, where nothing is asked), and of an annotated file.
+MET_POINTS, LISTED_POINTS = 10, 5
+
+
 def facets(files: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
-    """Files that have, for every facet, one of the values wanted; ten points for each value met and five where annotated."""
-    score = F.when(F.col("annotated"), 5).otherwise(0)
+    """Visible files that have, for every facet, one of the values wanted, by lower case; lists may meet several.
+
+    The score counts each value met, or one where nothing is asked. Facets without values ask for nothing.
+    """
+    if "classification" in files.columns:
+        files = index.visible(files)
+    met, asked = F.lit(0), False
     for column, values in wanted.items():
-        files = files.filter(F.col(column).isin(values))
-        score = score + 10
-    return files.withColumn("score", score.cast("long"))
+        values = sorted({str(v).strip().lower() for v in values} - {""})
+        if not values:
+            continue
+        held = F.col(column) if isinstance(files.schema[column].dataType, ArrayType) else F.array(F.col(column))
+        held = F.transform(F.coalesce(held.cast("array<string>"), F.array().cast("array<string>")), lambda x: F.lower(x))
+        shared = F.size(F.array_intersect(held, F.array(*map(F.lit, values))))
+        files, met, asked = files.filter(shared > 0), met + shared, True
+    signals = met if asked else F.lit(1)
+    return files.withColumn("score", (signals * MET_POINTS + F.when(F.col("annotated"), LISTED_POINTS).otherwise(0)).cast("long"))
 
 
 #: Points of a word in the base name, else in the path; in the annotation; in the policy's defaults; of an annotated file with points.

@@ -100,8 +100,12 @@ def context_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.scores(e, asked, best, nodes).select("q", "id", F.round("score", 6).alias("score"))
 
 
-@query("context_groups", f"""WITH {EVIDENCE_SQL} SELECT id, CASE WHEN kind = 'graph_node' THEN 'likely_change_surface' WHEN regexp_matches(lower(path), '^docs/(adr|contracts)/') OR lower(section) IN {_list(context.MUST_READ_SECTIONS)} THEN 'must_read'
-WHEN kind = 'completion_receipt' OR contains(lower(text), 'verification') OR contains(lower(text), 'test') OR contains(lower(path), 'test') THEN 'tests_and_verification' ELSE 'supporting_evidence' END AS group_name FROM ev""")
+_LINES = "rtrim(regexp_replace(text, '[ \\t]+\\n', chr(10), 'g'), ' ')"
+_EXCERPT_SQL = f"ex AS (SELECT * REPLACE (CASE WHEN length({_LINES}) > 900 THEN substr({_LINES}, 1, 897) || '...' ELSE {_LINES} END AS text) FROM ev)"
+
+
+@query("context_groups", f"""WITH {EVIDENCE_SQL}, {_EXCERPT_SQL} SELECT id, CASE WHEN kind = 'graph_node' THEN 'likely_change_surface' WHEN regexp_matches(lower(path), '^docs/(adr|contracts)/') OR lower(section) IN {_list(context.MUST_READ_SECTIONS)} THEN 'must_read'
+WHEN kind = 'completion_receipt' OR contains(lower(text), 'verification') OR contains(lower(text), 'test') OR contains(lower(path), 'test') THEN 'tests_and_verification' ELSE 'supporting_evidence' END AS group_name FROM ex""")
 def context_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = context.group_name(F.col("kind"), F.col("path"), F.col("section"), F.col("text"), F.lit(False))
     return evidence(spark, sf_dir).select("id", name.alias("group_name"))

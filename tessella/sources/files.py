@@ -155,10 +155,18 @@ def whole_text(docs: DataFrame, kind: str) -> DataFrame:
 
 
 def nodes_as_documents(nodes: DataFrame) -> DataFrame:
-    """Graph nodes as evidence: their JSON, under ``<graph:id>``."""
+    """Graph nodes (id, kind, and path, name, provider_symbol_id where there are any) as evidence: their JSON, under ``<graph:id>``.
+
+    The section is the kind and what names the node: a file's path, a topic's or task's name, a symbol's provider id, else the id.
+    """
+    has = lambda c: F.col(c) if c in nodes.columns else F.lit(None).cast("string")
+    kind = F.col("kind")
+    label = F.when(kind == "file", has("path")).when(kind.isin("topic", "task"), has("name")).when(kind == "symbol", has("provider_symbol_id"))
+    section = F.concat_ws(" ", F.coalesce(kind, F.lit("node")), F.coalesce(F.nullif(label, F.lit("")), "id"))
     path = F.concat(F.lit("<graph:"), "id", F.lit(">"))
-    columns = sorted(nodes.columns)
-    return nodes.select(F.lit("graph").alias("kind"), path.alias("path"), F.lit("").alias("section"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), F.to_json(F.struct(*columns)).alias("text"))
+    return nodes.select(
+        F.lit("graph_node").alias("kind"), path.alias("path"), section.alias("section"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), F.to_json(F.struct(*sorted(nodes.columns))).alias("text")
+    )
 
 
 def target_state(wanted: DataFrame, present: DataFrame, force: bool) -> DataFrame:

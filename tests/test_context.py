@@ -28,9 +28,13 @@ def test_graph_evidence(spark):
     engine = Engine(nodes, edges, evidence)
     rows = engine.context_query("who calls runAll").collect()
     # the caller weighs more than the match itself and its file; the caller's file is two steps away
-    assert [r["path"] for r in rows] == ["<graph:s2>", "<graph:s1>", "<graph:f1>"] and {r["group_name"] for r in rows} == {"likely_change_surface"}
+    by_node = [r["path"] for r in rows if r["kind"] == "graph_node"]
+    assert by_node == ["<graph:s2>", "<graph:s1>", "<graph:f1>"] and {r["group_name"] for r in rows if r["kind"] == "graph_node"} == {"likely_change_surface"}
+    # callers and impact, each with a path
+    answers = [r for r in rows if r["kind"] == "graph_query"]
+    assert {(r["section"], r["score"], r["group_name"]) for r in answers} == {("callers_of", 4.0, "callers_and_dependents"), ("impact_symbol", 4.0, "callers_and_dependents")}
     assert engine.context_mode("who calls runAll") == "call_impact"
-    assert Engine(nodes, edges, evidence.limit(0)).context_query("who calls runAll").count() == 0
+    assert {r["kind"] for r in Engine(nodes, edges, evidence.limit(0)).context_query("who calls runAll").collect()} == {"graph_query"}
 
 
 def test_boosts(spark):
