@@ -105,29 +105,29 @@ def _first(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
     return rows.withColumn("place", place).filter(F.col("place") <= most)
 
 
-def answers(questions: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def answers(labels: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Labels with matches (n_matches), their matches (id), and the paths of those that fit a single node.
 
     A name of several symbols keeps its matches and has no paths; a label that fits nothing isn't there.
     """
-    found = kept(matched(asked(questions), nodes), "matches")
+    found = kept(matched(labels, nodes), "matches")
     count = found.groupBy(*LABEL).agg(F.count(F.lit(1)).alias("n_matches"))
     single = found.join(count.filter("n_matches = 1"), LABEL, "left_semi")
     return count, found, kept(_paths(edges, single), "paths")
 
 
-def graph_candidates(questions: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def of_labels(labels: DataFrame, nodes: DataFrame, edges: DataFrame, matches: int = SHOWN_MATCHES, shown_paths: int = SHOWN_PATHS) -> DataFrame:
     """q, token, selector, path, section, score, n_matches, n_paths, text: the evidence of each label that fits something.
 
-    The text has the first ``SHOWN_MATCHES`` matches and ``SHOWN_PATHS`` paths; ``path`` names the evidence by a digest of
-    what was asked, what was found, and that text.
+    The text has the first ``matches`` matches and ``shown_paths`` paths; ``path`` names the evidence by a digest of what was
+    asked, what was found, and that text.
     """
-    count, found, paths = answers(questions, nodes, edges)
+    count, found, paths = answers(labels, nodes, edges)
     name = F.coalesce("qualified_name", "path", "id")
     shown = nodes.select("id", name.alias("name"), F.coalesce("path", F.lit("")).alias("at"), F.coalesce("qualified_name", F.lit("")).alias("qualified"))
     order = [F.col("at"), F.col("qualified"), F.col("id")]
-    lines = _first(found.join(shown, "id"), order, SHOWN_MATCHES).select(*LABEL, F.lit(0).alias("part"), "place", F.rtrim(F.concat_ws(" ", F.lit("match"), "name", "at")).alias("line"))
-    first = _first(paths, [F.col(x) for x in ("depth", "kind", "src", "dst")], SHOWN_PATHS)
+    lines = _first(found.join(shown, "id"), order, matches).select(*LABEL, F.lit(0).alias("part"), "place", F.rtrim(F.concat_ws(" ", F.lit("match"), "name", "at")).alias("line"))
+    first = _first(paths, [F.col(x) for x in ("depth", "kind", "src", "dst")], shown_paths)
     end = lambda x: shown.select(F.col("id").alias(x), F.col("name").alias(f"{x}_name"))
     first = first.join(end("src"), "src", "left").join(end("dst"), "dst", "left")
     told = F.concat(F.coalesce("src_name", "src"), F.lit(" --"), "kind", F.lit("--> "), F.coalesce("dst_name", "dst"), F.lit(": "), "reason")
@@ -141,6 +141,11 @@ def graph_candidates(questions: DataFrame, nodes: DataFrame, edges: DataFrame) -
     return rows.select(*LABEL, path.alias("path"), F.col("selector").alias("section"), score.alias("score"), "n_matches", "n_paths", "text")
 
 
+def graph_candidates(questions: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The evidence of all that the tokens of ``questions`` (q, question, mode) ask."""
+    return of_labels(asked(questions), nodes, edges)
+
+
 def warnings(candidates: DataFrame) -> DataFrame:
     """q, code, message: names that fit several symbols."""
     told = candidates.filter((F.col("n_matches") > 1) & ~F.col("selector").isin("file", "impact_file"))
@@ -167,7 +172,7 @@ def payload(questions: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[D
 
     Callers, callees and symbols come with the edges that define them, files with all edges at them, impact with its steps.
     """
-    _, found, paths = answers(questions, nodes, edges)
+    _, found, paths = answers(asked(questions), nodes, edges)
     steps = paths.select(*LABEL, "kind", "src", "dst")
     ends = steps.filter(F.col("selector").isin(*ONE_STEP)).select(*LABEL, F.explode(F.array("src", "dst")).alias("id"))
     # a name of several symbols shows what defines them, whatever was asked of it
