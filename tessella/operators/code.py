@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PARSED = "path string, parse_status string, kind string, name string, qualified_name string, parent string, start_line int, end_line int, module string, alias string, level int, caller string"
+PARSED = "path string, parse_status string, kind string, name string, qualified_name string, parent string, start_line int, end_line int, module string, alias string, level int, caller string, start_col int, end_col int"
 
 
 def longest_prefix(rows: DataFrame, key: str, parts: str, joiner: str, known: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def _parse(path: str, text: str) -> Iterator[tuple]:
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 name = ".".join((*scope, child.name))
                 kind = "class" if isinstance(child, ast.ClassDef) else "method" if inside == "class" else "function"
-                yield row(path=path, parse_status="ok", kind=kind, name=child.name, qualified_name=name, parent=".".join(scope), start_line=child.lineno, end_line=child.end_lineno)
+                yield row(path=path, parse_status="ok", kind=kind, name=child.name, qualified_name=name, parent=".".join(scope), start_line=child.lineno, end_line=child.end_lineno, start_col=child.col_offset, end_col=child.end_col_offset)
                 below, holder = (*scope, child.name), "class" if kind == "class" else "function"
                 plain = kind == "class" and node is tree
                 if kind != "class" and direct:
@@ -99,7 +99,7 @@ def parsed_python(files: DataFrame) -> DataFrame:
         for batch in batches:
             rows = [r for path, text in zip(batch["path"], batch["text"], strict=True) for r in _parse(path, text or "")]
             out = pd.DataFrame(rows, columns=names)
-            for c in ("start_line", "end_line", "level"):
+            for c in ("start_line", "end_line", "level", "start_col", "end_col"):
                 out[c] = out[c].astype("Int32")
             yield out
 
@@ -121,29 +121,36 @@ def module_candidates(module: Column) -> Column:
     return F.array(F.concat(base, F.lit(".py")), F.concat(base, F.lit("/__init__.py")))
 
 
-def resolved_python(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """path, module, name, alias, target: the longest beginning of an absolute or relative import that is exactly one file.
+IMPORT = ["path", "module", "name", "alias", "level"]
 
-    An import that two files fit at its longest fitting length resolves to none.
-    """
+
+def python_targets(imports: DataFrame) -> DataFrame:
+    """Each import with each file it may mean: n, how many of its parts name it, and target."""
     folder = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - F.col("level"), F.lit(0)))
     head = F.when(F.col("level") > 0, folder).otherwise(F.array().cast("array<string>"))
     own = F.filter(F.split("module", r"\."), lambda x: x != "")
     full = F.concat(head, own, F.when(F.col("name").isNotNull(), F.array("name")).otherwise(F.array().cast("array<string>")))
     each = imports.withColumn("parts", full).withColumn("n", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("parts")))))
-    each = each.withColumn("target", F.explode(module_candidates(F.array_join(F.slice("parts", 1, F.col("n")), "."))))
-    key = ["path", "module", "name", "alias", "level"]
-    met = each.join(files.select(F.col("path").alias("target")), "target").groupBy(*key, "n").agg(F.count(F.lit(1)).alias("fits"), F.min("target").alias("target"))
-    best = met.groupBy(*key).agg(F.max_by(F.struct("fits", "target"), "n").alias("b"))
-    return best.filter("b.fits = 1").select(*key, F.col("b.target").alias("target"))
+    return each.withColumn("target", F.explode(module_candidates(F.array_join(F.slice("parts", 1, F.col("n")), ".")))).select(*IMPORT, "n", "target")
+
+
+def resolved_python(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """path, module, name, alias, target: the longest beginning of an absolute or relative import that is exactly one file.
+
+    An import that two files fit at its longest fitting length resolves to none.
+    """
+    each = python_targets(imports)
+    met = each.join(files.select(F.col("path").alias("target")), "target").groupBy(*IMPORT, "n").agg(F.count(F.lit(1)).alias("fits"), F.min("target").alias("target"))
+    best = met.groupBy(*IMPORT).agg(F.max_by(F.struct("fits", "target"), "n").alias("b"))
+    return best.filter("b.fits = 1").select(*IMPORT, F.col("b.target").alias("target"))
 
 
 #: Endings by which a script import may name a file.
 SCRIPT_ENDINGS = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.mjs", "/index.cjs"]
 
 
-def resolved_scripts(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """path, raw, target of relative imports (path, raw) that fit exactly one file; none that leave the root."""
+def script_bases(imports: DataFrame) -> DataFrame:
+    """path, raw, base: what relative imports (path, raw) name, without its ending; none that leave the root."""
     folder = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
     walk = F.aggregate(
         F.split("raw", "/"), F.struct(folder.alias("at"), F.lit(False).alias("out")),
@@ -151,8 +158,18 @@ def resolved_scripts(imports: DataFrame, files: DataFrame) -> DataFrame:
         .when(x == "..", F.struct(F.slice(s["at"], 1, F.greatest(F.size(s["at"]) - 1, F.lit(0))).alias("at"), (s["out"] | (F.size(s["at"]) == 0)).alias("out")))
         .otherwise(F.struct(F.concat(s["at"], F.array(x)).alias("at"), s["out"].alias("out"))),
     )
-    rows = imports.filter(F.col("raw").startswith(".")).withColumn("w", walk).filter("not w.out").withColumn("base", F.array_join("w.at", "/"))
-    rows = rows.withColumn("key", F.struct("path", "raw")).select("key", "base")
+    rows = imports.filter(F.col("raw").startswith(".")).withColumn("w", walk).filter("not w.out")
+    return rows.select("path", "raw", F.array_join("w.at", "/").alias("base"))
+
+
+def script_targets(imports: DataFrame) -> DataFrame:
+    """path, target: every file that a relative import may mean."""
+    return script_bases(imports).select("path", F.explode(F.transform(F.array(*map(F.lit, SCRIPT_ENDINGS)), lambda x: F.concat("base", x))).alias("target"))
+
+
+def resolved_scripts(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """path, raw, target of relative imports (path, raw) that fit exactly one file; none that leave the root."""
+    rows = script_bases(imports).select(F.struct("path", "raw").alias("key"), "base")
     return unique_candidate(rows, "key", SCRIPT_ENDINGS, files.select("path")).select("key.path", "key.raw", "target")
 
 

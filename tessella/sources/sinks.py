@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tessella.functions import text as t
+from tessella.operators import build
 
 
 def append_log(rows: DataFrame, path: str) -> None:
@@ -23,9 +24,8 @@ def pages(items: DataFrame, group: str, order: list[str], line: str) -> DataFram
 
 
 def manifest_digest(made: DataFrame) -> str:
-    """One digest of all pages, in order of their names: over their digests only."""
-    one = made.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "digest"))), lambda x: F.concat_ws(" ", x["name"], x["digest"])), "\n").alias("d"))
-    return one.select(t.digest(F.col("d"))).head()[0]
+    """One digest of all pages' names and digests, however they are dealt to partitions."""
+    return build.table_digest(made, ["name", "digest"])
 
 
 def freshness(expected: DataFrame, present: DataFrame) -> DataFrame:
