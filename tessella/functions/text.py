@@ -28,6 +28,14 @@ def glob_regex(pattern: str) -> str:
     return f"(?s)^{out}$"
 
 
+def glob_regex_of(pattern: Column) -> Column:
+    """As ``glob_regex``, of a column of patterns."""
+    out = F.regexp_replace(pattern, r"([\\.^$|(){}+])", r"\\$1")
+    out = F.regexp_replace(out, r"\[(?!.[^\]]*\])", r"\\[")
+    out = F.replace(F.replace(out, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit("."))
+    return F.concat(F.lit("(?s)^"), F.replace(out, F.lit("[!"), F.lit("[^")), F.lit("$"))
+
+
 def glob_any(path: Column, patterns: list[str]) -> Column:
     found = F.lit(False)
     for p in patterns:

@@ -43,17 +43,28 @@ def moved(changes: DataFrame, annotations: DataFrame) -> DataFrame:
     return changes.join(annotations.select(F.col("path").alias("old_path")).distinct(), "old_path", "left_semi")
 
 
+def glob_matches(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """Each of ``files`` (path) with each of ``rules`` (pattern: a glob) that it meets.
+
+    A rule waits at the folder that its beginning names before any wildcard; a path meets the rules of the folders it lies in
+    by equality, and only those are tested in full.
+    """
+    parts = F.split("path", "/")
+    folders = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.when(i > 0, "/").otherwise("")))
+    waiting = rules.withColumn("__folder", F.regexp_extract("pattern", r"^([^*?\[]*/)?", 1)).withColumn("__regex", t.glob_regex_of(F.col("pattern")))
+    met = files.withColumn("__folder", F.explode(folders)).join(waiting, "__folder")
+    return met.filter(F.rlike("path", F.col("__regex"))).drop("__folder", "__regex")
+
+
 def first_reason(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """The reason of the first of ``rules`` (ord, pattern: a regular expression, reason) that a path meets. Rules are a small policy table."""
-    met = files.join(F.broadcast(rules), F.rlike("path", "pattern"))
-    return met.groupBy("path").agg(F.min_by("reason", "ord").alias("reason"))
+    """The reason of the first of ``rules`` (ord, pattern: a glob, reason) that a path meets."""
+    return glob_matches(files, rules).groupBy("path").agg(F.min_by("reason", "ord").alias("reason"))
 
 
 def topics(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """path, topics: the topics of all rules a path meets, in rule order."""
-    met = files.join(F.broadcast(rules), F.rlike("path", "pattern"))
+    """path, topics: the topics of all rules (ord, pattern: a glob, topic) a path meets, in rule order."""
     found = F.array_sort(F.collect_list(F.struct("ord", "topic")))
-    return met.groupBy("path").agg(F.array_join(F.array_distinct(F.transform(found, lambda x: x["topic"])), ",").alias("topics"))
+    return glob_matches(files, rules).groupBy("path").agg(F.array_join(F.array_distinct(F.transform(found, lambda x: x["topic"])), ",").alias("topics"))
 
 
 #: Points of each value met (or of being listed at all, where nothing is asked), and of an annotated file.
@@ -102,12 +113,20 @@ def suggest(files: DataFrame, tokens: DataFrame, limit: int) -> DataFrame:
 
 
 def pattern_overlaps(patterns: DataFrame) -> DataFrame:
-    """Pairs of policy patterns (ord, pattern) of which one literally holds the beginning of the other. A policy is a small table."""
+    """a, b: pairs of ``patterns`` (pattern; a before b) that overlap: one is met by the other as a name, or the literal folder of one lies in the other's.
+
+    Candidates by equality: what begins alike is found by the beginnings of one among the heads of the other.
+    """
+    every = patterns.select("pattern").distinct()
     head = F.regexp_extract("pattern", r"^([^*?\[]*)", 1)
-    a = patterns.select(F.col("pattern").alias("a"), head.alias("a_head"))
-    b = patterns.select(F.col("pattern").alias("b"), head.alias("b_head"))
-    inside = F.startswith(F.col("a_head"), F.col("b_head")) | F.startswith(F.col("b_head"), F.col("a_head"))
-    return a.join(F.broadcast(b), (F.col("a") < F.col("b")) & inside).select("a", "b")
+    prefix = F.when(F.contains(head, F.lit("/")), F.regexp_extract(head, r"^(.*/)", 1)).otherwise(head)
+    starts = lambda x, least: F.explode(F.transform(F.sequence(F.lit(least), F.greatest(F.length(x), F.lit(least))), lambda n: F.substring(x, F.lit(1), n)))
+    folders = every.withColumn("prefix", prefix).filter("prefix <> ''")
+    inside = folders.select(F.col("pattern").alias("x"), starts(F.col("prefix"), 1).alias("prefix")).join(folders.withColumnRenamed("pattern", "y"), "prefix").select("x", "y")
+    globs = every.select(F.col("pattern").alias("y"), head.alias("head"), t.glob_regex_of(F.col("pattern")).alias("regex"))
+    met = every.select(F.col("pattern").alias("x"), starts(F.col("pattern"), 0).alias("head")).join(globs, "head").filter(F.rlike("x", F.col("regex"))).select("x", "y")
+    pairs = inside.union(met).filter("x <> y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def first_shard(marks: DataFrame) -> DataFrame:

@@ -133,8 +133,8 @@ def warnings(tasks: DataFrame, packed: DataFrame, repo_id: str, with_graph: bool
 def found_refs(required: DataFrame, refs: DataFrame, by: list[str]) -> DataFrame:
     """``required`` (``by``, kind, path, section) with whether ``refs`` hold it: equal paths, and kind and section where one is asked for."""
     asked = required.select(*by, *[F.coalesce(c, F.lit("")).alias(c) for c in ("kind", "path", "section")])
-    held = refs.select(*by, F.col("kind").alias("its_kind"), "path", F.coalesce("section", F.lit("")).alias("its_section")).distinct()
-    meets = F.col("kind").isin("") | (F.col("kind") == F.col("its_kind"))
+    held = refs.select(*by, F.col("kind").alias("its_kind"), "path", F.coalesce("section", F.lit("")).alias("its_section")).distinct().withColumn("there", F.lit(True))
+    meets = F.col("there") & (F.col("kind").isin("") | (F.col("kind") == F.col("its_kind")))
     meets = meets & (F.col("section").isin("") | (F.col("section") == F.col("its_section")))
     per = asked.join(held, [*by, "path"], "left").groupBy(*by, "kind", "path", "section")
     return per.agg(F.coalesce(F.bool_or(meets), F.lit(False)).alias("found"))

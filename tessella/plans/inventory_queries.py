@@ -59,7 +59,7 @@ RULES = [(1, "src0/*", "hot source", "web"), (2, "*/de/*", "german", "lang"), (3
 
 
 def rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(o, t.glob_regex(p), r, x) for o, p, r, x in RULES], "ord int, pattern string, reason string, topic string")
+    return spark.createDataFrame(RULES, "ord int, pattern string, reason string, topic string")
 
 
 _RULES_SQL = "VALUES (1, '^src0/.*$', 'hot source', 'web'), (2, '^.*/de/.*$', 'german', 'lang'), (3, '^src1.*$', 'teens', 'group'), (4, '^.*/e./.*$', 'english or spanish', 'lang')"
@@ -121,3 +121,18 @@ def candidate_resolve_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     p = table(spark, sf_dir, "pages")
     return unique_candidate(p.select("page_id", F.col("url").alias("base")), "page_id", ["", "/index", ".html"], p.filter("length(html) > 1500").select(F.col("url").alias("path")).distinct())
+
+
+_PATTERNS_SQL = "SELECT DISTINCT unnest([p_brand || '/' || p_size || '*', p_brand || '/**', '*/' || p_size, 'Brand#?/' || (p_size % 7), p_name || '/[a-c]?', 'Br' || chr(42)]) AS x FROM part"
+_GLOB_SQL = "regexp_full_match({}, replace(replace({}, '*', '.*'), '?', '.'))"
+_HEAD_SQL = "regexp_extract({0}, '^[^*?\\[]*')"
+_PREFIX_SQL = f"CASE WHEN contains({_HEAD_SQL}, '/') THEN regexp_extract({_HEAD_SQL}, '^.*/') ELSE {_HEAD_SQL} END"
+
+
+@query("pattern_overlap", f"""WITH p AS (SELECT x, {_PREFIX_SQL.format('x')} AS h FROM ({_PATTERNS_SQL})) SELECT a.x AS a, b.x AS b FROM p AS a JOIN p AS b ON a.x < b.x
+WHERE (a.h <> '' AND b.h <> '' AND (starts_with(a.h, b.h) OR starts_with(b.h, a.h))) OR {_GLOB_SQL.format('a.x', 'b.x')} OR {_GLOB_SQL.format('b.x', 'a.x')}""")
+def pattern_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    brand, size = F.col("p_brand"), F.col("p_size").cast("string")
+    said = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    some = F.array(said(brand, "/", size, "*"), said(brand, "/**"), said("*/", size), said("Brand#?/", (F.col("p_size") % 7).cast("string")), said(F.col("p_name"), "/[a-c]?"), F.lit("Br*"))
+    return inventory.pattern_overlaps(table(spark, sf_dir, "part").select(F.explode(some).alias("pattern")))

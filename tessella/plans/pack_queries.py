@@ -82,15 +82,17 @@ def pack_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packs.warnings(tasks(spark, sf_dir), packed(spark, sf_dir), "main").select("task", "code")
 
 
-@query("pack_score", f"""WITH {PACK_SQL}, {_WARN_SQL}, re AS (SELECT task, '' AS kind, 'README.md' AS path, CASE WHEN task % 2 = 0 THEN 'Decision' ELSE '' END AS section FROM tasks UNION ALL SELECT task, CASE WHEN task % 5 = 0 THEN 'document' ELSE 'other' END, 'docs/PRD.md', '' FROM tasks WHERE task % 3 <> 0),
+@query("pack_score", f"""WITH {PACK_SQL}, {_WARN_SQL}, re AS (SELECT task, '' AS kind, 'README.md' AS path, CASE WHEN task % 2 = 0 THEN 'Decision' ELSE '' END AS section FROM tasks UNION ALL SELECT task, CASE WHEN task % 5 = 0 THEN 'document' ELSE 'other' END, 'docs/PRD.md', '' FROM tasks WHERE task % 3 <> 0 UNION ALL SELECT task, '', 'docs/adr/' || (task * 7) % (SELECT count(*) FROM documents), '' FROM tasks),
 h AS (SELECT re.*, EXISTS (SELECT 1 FROM pk WHERE pk.task = re.task AND pk.path = re.path AND group_name = 'must_read' AND (re.kind = '' OR re.kind = pk.kind) AND (re.section = '' OR re.section = pk.section)) AS found FROM re)
 SELECT task, round((count(*) FILTER (WHERE found))::DOUBLE / count(*), 6)::DOUBLE AS must_read_recall, CAST(count(*) AS BIGINT) AS required, (SELECT count(*) FROM wa WHERE wa.task = h.task) AS warnings FROM h GROUP BY task""")
 def pack_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, k = tasks(spark, sf_dir), F.col("task")
     one = t.select("task", F.lit("").alias("kind"), F.lit("README.md").alias("path"), F.when(k % 2 == 0, "Decision").otherwise("").alias("section"))
     two = t.filter(k % 3 != 0).select("task", F.when(k % 5 == 0, "document").otherwise("other").alias("kind"), F.lit("docs/PRD.md").alias("path"), F.lit("").alias("section"))
+    n = F.broadcast(table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n")))
+    three = t.join(n, how="cross").select("task", F.lit("").alias("kind"), F.concat(F.lit("docs/adr/"), ((k * 7) % F.col("n")).cast("string")).alias("path"), F.lit("").alias("section"))  # one row beside each
     p = packed(spark, sf_dir)
-    return packs.scores(t, one.unionByName(two), p, packs.warnings(t, p, "main"))
+    return packs.scores(t, one.unionByName(two).unionByName(three), p, packs.warnings(t, p, "main"))
 
 
 @query("task_graph_evidence", f"""WITH e AS ({g.EDGES_SQL}), {e.NODES_SQL}, {TASKS_SQL}, s AS (SELECT task, unnest(['only_' || (task * 10), 'sym_7']) AS token FROM tasks WHERE task % 4 = 1),

@@ -28,5 +28,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-for _module in ("graph_queries", "inventory_queries", "retrieval_queries", "context_queries", "lifecycle_queries", "state_queries", "code_queries", "evidence_queries", "pack_queries", "build_queries", "report_queries", "stream_queries"):
+for _module in ("graph_queries", "inventory_queries", "retrieval_queries", "context_queries", "lifecycle_queries", "state_queries", "code_queries", "evidence_queries", "pack_queries", "build_queries", "nested_queries", "report_queries", "stream_queries"):
     importlib.import_module(f"tessella.plans.{_module}")

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.api import Engine
-from tessella.operators import candidates, code, context, textindex
+from tessella.functions import text
+from tessella.operators import candidates, code, context, inventory, nested, textindex
 from tessella.sources import files
 
 NODES = "id string, kind string, name string, qualified_name string, path string"
@@ -183,3 +184,52 @@ def test_file_index(spark):
     assert a["symbols"] == ["K", "f"] and a["imports"] == ["..b.c.d", ".x", "os.path"] and a["calls"] == ["h", "i.j", "open", "self.g"] and a["packages"] == ["os"] and a["effects"] == ["fs"]
     s = got["c/d.TS"]
     assert s["symbols"] == ["go", "y"] and s["imports"] == ["axios"] and s["calls"] == ["Date.now", "go", "run.it"] and s["packages"] == ["axios"] and s["effects"] == ["net", "time"]
+
+
+GLOBS = ["*.md", "docs/**", "a?c.py", "[a-c]/x*", "[!a]b", "a[b", "x.y+(z)|{1}^$", "src/*/test_?.py", "README.md", "*"]
+NAMES = ["x.md", "xmd", "docs/a/b", "docs", "abc.py", "a/c.py", "b/xyz", "d/x", "zb", "ab", "a[b", "x.y+(z)|{1}^$", "xay+(z)|{1}^$", "src/u/v/test_1.py", "README.md", "src/test_1.py", "a\nb.md"]
+
+
+def test_globs_of_columns(spark):
+    import fnmatch
+
+    rows = spark.createDataFrame([(g, n) for g in GLOBS for n in NAMES], "g string, n string").select("g", "n", F.rlike("n", text.glob_regex_of(F.col("g"))).alias("met")).collect()
+    assert {(r["g"], r["n"]) for r in rows if r["met"]} == {(g, n) for g in GLOBS for n in NAMES if fnmatch.fnmatchcase(n, g)}
+
+
+def test_rules_by_folder(spark):
+    import fnmatch
+
+    rules = [(i, g, f"r{i}", f"t{i % 3}") for i, g in enumerate(GLOBS)]
+    met = inventory.glob_matches(spark.createDataFrame([(n,) for n in NAMES] + [(None,)], "path string"), spark.createDataFrame(rules, "ord int, pattern string, reason string, topic string"))
+    assert sorted((r["path"], r["ord"]) for r in met.collect()) == sorted((n, i) for i, g in enumerate(GLOBS) for n in NAMES if fnmatch.fnmatchcase(n, g))
+    assert "NestedLoop" not in met._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pattern_overlaps(spark):
+    import fnmatch
+    import re
+
+    def prefix(x):
+        head = re.match(r"[^*?\[]*", x)[0]
+        return head.rsplit("/", 1)[0] + "/" if "/" in head else head
+
+    def overlap(a, b):
+        p, q = prefix(a), prefix(b)
+        return fnmatch.fnmatchcase(a, b) or fnmatch.fnmatchcase(b, a) or bool(p and q and (p.startswith(q) or q.startswith(p)))
+
+    every = GLOBS + ["docs/a/*.md", "d*", "src/**", "src/u/x.py", "src/*/y", "*.py", ""]
+    found = {(r["a"], r["b"]) for r in inventory.pattern_overlaps(spark.createDataFrame([(x,) for x in every + every[:3]], "pattern string")).collect()}
+    assert found == {(a, b) for a in every for b in every if a < b and overlap(a, b)}
+
+
+def test_nested_values(spark):
+    states = [(1, '{"a": {"b": {"c": 1, "t": true}, "l": [1, {"credential": 2, "x": {"temp_path": 3}}]}, "f": 2.5, "n": null, "s": "1", "workers": []}'), (2, "not json"), (3, None), (4, '[1, {"approval": 1}]'), (5, "{}"), (6, "3")]
+    rows = spark.createDataFrame(states, "id int, j string")
+    assert {(r["id"], r["path"]): r["value"] for r in nested.flat_numbers(rows, "id", "j").collect()} == {(1, "a.b.c"): 1.0, (1, "a.b.t"): 1.0, (1, "f"): 2.5}
+    assert {(r["id"], r["name"], r["depth"]) for r in nested.forbidden_keys(rows, "id", "j").collect()} == {(1, "workers", 1), (1, "credential", 4), (1, "temp_path", 5)}
+    assert {(r["id"], r["name"]) for r in nested.missing_keys(rows, "id", "j", ["a", "z"]).collect()} == {(1, "z")} | {(i, x) for i in range(2, 7) for x in "az"}
+    a, b = (spark.createDataFrame(x, "id int, j string") for x in ([(1, '{"x": 1, "y": {"z": 2}}')], [(1, '{"x": 1.25, "y": {"w": 2}}')]))
+    got = nested.number_deltas(nested.flat_numbers(a, "id", "j"), nested.flat_numbers(b, "id", "j"), "id").collect()
+    assert [(r["path"], r["baseline"], r["candidate"], r["delta"]) for r in got] == [("x", 1.0, 1.25, 0.25)]
+    assert nested.flat_numbers(rows.limit(0), "id", "j").count() == 0
