@@ -1,8 +1,8 @@
 """A positional index of texts, and BM25 of phrases by it.
 
-The index is two tables: postings (word, doc, field, positions, bucket) with every word's places in every field of a document,
-written once and laid out by a hash of the word, and sizes (doc, length, n_words). A search reads the buckets of its words
-only; a phrase is where the positions of its words, each moved back by its place in the phrase, meet. A word is a run of
+The index is two tables: postings (word, doc, field, at, bucket), a row for every place of every word, written once, laid out
+by a hash of the word and sorted, and sizes (doc, length, n_words). A search reads the buckets of its words only; a phrase is
+where the places of its words, each moved back by its own place in the phrase, meet. A word is a run of
 letters and digits, lower-cased; a phrase never runs across fields. Null fields are empty; documents without words have a size.
 """
 
@@ -28,10 +28,9 @@ def _words(text: Column, word: str = WORD) -> Column:
 
 
 def postings(docs: DataFrame, key: str, fields: list[str], word: str = WORD) -> DataFrame:
-    """word, doc, field (its place in ``fields``), positions: in order, from 0."""
+    """word, doc, field (its place in ``fields``), at: from 0."""
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("field"), _words(F.col(c), word).alias("words")) for i, c in enumerate(fields)])).alias("x")
-    places = docs.select(F.col(key).alias("doc"), each).select("doc", "x.field", F.posexplode("x.words").alias("at", "word"))
-    return places.groupBy("word", "doc", "field").agg(F.array_sort(F.collect_list("at")).alias("positions"))
+    return docs.select(F.col(key).alias("doc"), each).select("doc", "x.field", F.posexplode("x.words").alias("at", "word"))
 
 
 def sizes(docs: DataFrame, key: str, fields: list[str], text: str, word: str = WORD) -> DataFrame:
@@ -69,7 +68,7 @@ def build(docs: DataFrame, key: str, fields: list[str], text: str, word: str = W
 def write(docs: DataFrame, path: str, key: str, fields: list[str], text: str, buckets: int = 64, word: str = WORD) -> None:
     """Writes an index under ``path``, a folder that all executors share. Complete when this returns."""
     found = postings(docs, key, fields, word).withColumn("bucket", _bucket(buckets))
-    dealt = found.repartition(F.col("bucket"), F.pmod(F.xxhash64("doc"), F.lit(SPREAD))).sortWithinPartitions("bucket", "word")
+    dealt = found.repartition(F.col("bucket"), F.pmod(F.xxhash64("doc"), F.lit(SPREAD))).sortWithinPartitions("bucket", "word", "doc", "field", "at")
     dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
     sizes(docs, key, fields, text, word).write.parquet(f"{path}/sizes")
     docs.sparkSession.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{path}/layout")  # last: the index is whole
@@ -88,12 +87,11 @@ def phrases(questions: DataFrame, word: str = WORD) -> DataFrame:
 def frequencies(index: Index, wanted: DataFrame) -> DataFrame:
     """phrase, doc, f: how often each document has each of the ``wanted`` phrases (phrase; few), in any field."""
     parts = wanted.select("phrase").distinct().select("phrase", F.size("phrase").alias("n"), F.posexplode("phrase").alias("i", "word"))
-    met = index.of(parts).join(retrieval.small(parts), "word").withColumn("starts", F.transform("positions", lambda x: x - F.col("i")))
-    single = met.filter("n = 1").select("phrase", "doc", F.size("starts").alias("f"))
-    lists = met.filter("n > 1").groupBy("phrase", "doc", "field", "n").agg(F.collect_list("starts").alias("all")).filter(F.size("all") == F.col("n"))
-    shared = F.reduce(F.slice("all", 2, F.size("all")), F.element_at("all", 1), lambda a, b: F.array_intersect(a, b))
-    longer = lists.select("phrase", "doc", F.size(shared).alias("f")).filter("f > 0")
-    return single.unionByName(longer).groupBy("phrase", "doc").agg(F.sum("f").alias("f"))
+    met = index.of(parts).join(retrieval.small(parts), "word")
+    single = met.filter("n = 1").groupBy("phrase", "doc").agg(F.count(F.lit(1)).alias("f"))
+    starts = met.filter("n > 1").groupBy("phrase", "doc", "field", "n", (F.col("at") - F.col("i")).alias("start")).agg(F.count(F.lit(1)).alias("words"))
+    longer = starts.filter("words = n").groupBy("phrase", "doc").agg(F.count(F.lit(1)).alias("f"))
+    return single.unionByName(longer)
 
 
 def saturated(f: Column, length: Column, mean: Column) -> Column:
