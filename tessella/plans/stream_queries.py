@@ -39,11 +39,13 @@ e AS (SELECT *, coalesce(before_over, FALSE) AS was_over, coalesce(sum(CASE WHEN
 q AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS epoch, 'c' || seq AS candidate FROM x WHERE kind = 'queue'),
 a AS (SELECT e.*, coalesce(q.candidate, 'first') AS active FROM e LEFT JOIN q ON q.user_id = e.user_id AND q.epoch = e.epoch)
 SELECT user_id, seq, kind, CASE WHEN kind = 'queue' AND NOT was_over THEN 'c' || seq ELSE active END AS candidate, path,
-CASE WHEN kind = 'artifact' AND NOT other AND NOT was_over THEN CAST(row_number() OVER (PARTITION BY user_id, epoch, path, kind = 'artifact' AND NOT other AND NOT was_over ORDER BY seq) AS INTEGER) END AS revision,
+CAST(CASE WHEN kind = 'artifact' AND NOT other AND NOT was_over THEN row_number() OVER (PARTITION BY user_id, epoch, path, kind = 'artifact' AND NOT other AND NOT was_over ORDER BY seq) ELSE 0 END AS INTEGER) AS revision,
 CASE WHEN was_over THEN 'refused_decided' WHEN kind = 'queue' THEN 'queued' WHEN kind = 'pass' THEN CASE WHEN over THEN 'decided' ELSE 'continued' END WHEN other THEN 'refused_candidate' ELSE 'recorded' END AS outcome FROM a""")
 def artifact_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The revision is 0 where an event records none."""
     kind = F.col("event_type")
     of = lambda i: F.coalesce(*[F.when(kind == k, F.lit(v[i])) for k, v in RECORDS.items()])
     candidate = F.when(kind == "signup", F.concat(F.lit("c"), "event_id")).when(kind == "error", "other")
     events = stream(spark, sf_dir).select("user_id", F.col("event_id").alias("seq"), of(0).alias("kind"), candidate.alias("candidate"), of(1).alias("path"))
-    return revisions.run(events, "user_id", fresh_path(spark, "revisions"), fresh_path(spark, "revision-marks"))
+    found = revisions.run(events, "user_id", fresh_path(spark, "revisions"), fresh_path(spark, "revision-marks"))
+    return found.withColumn("revision", F.coalesce("revision", F.lit(0)))
