@@ -87,7 +87,7 @@ def _told_by_files(repo: str, index: DataFrame, metadata: DataFrame) -> tuple[li
     ref = _id("repo", F.lit(repo), "import-ref", F.col("language"), F.col("raw"))
     nodes.append(_node(imports, ref, "import_ref", TOLD, owner))
     edges.append(_edge(imports, "DECLARES_IMPORT", file, ref, "observed", "code_index", owner))
-    for column, assertion, source in (("policy_topics", "default", "repometa_policy"), ("annotation_topics", "declared", "repometa_annotation")):
+    for column, assertion, source in (("policy_topics", "default", "metadata_policy"), ("annotation_topics", "declared", "metadata_annotation")):
         topics = rows.select("path", F.explode(F.filter(_list(column), lambda x: F.trim(x) != "")).alias("topic"))
         topic = _id("repo", F.lit(repo), "topic", F.col("topic"))
         nodes.append(_node(topics, topic, "topic", TOLD, owner))

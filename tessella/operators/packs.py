@@ -32,7 +32,7 @@ MUST_READ = ["AGENTS.md", "README.md", "docs/README.md", "docs/PRD.md"]
 MUST_READ_FOLDERS = r"^docs/(contracts|adr)/"
 
 # Words of a task's text that are no identifiers, how many seeds count, what a pack shows of the graph.
-NO_SEEDS = ["candidate", "query", "files", "reviewed", "chosen", "first", "command", "repoctl", "context", "pack", "task", "repo", "main", "json"]
+NO_SEEDS = ["candidate", "query", "files", "reviewed", "chosen", "first", "command", "context", "pack", "task", "repo", "main", "json"]
 MOST_SEEDS, SHOWN_MATCHES, SHOWN_PATHS = 12, 4, 8
 
 WARNINGS = {

@@ -58,7 +58,7 @@ _SYM_OF = "(SELECT doc_id, name, id FROM s)"
 EDGES_SQL = f"""SELECT 'CONTAINS' AS kind, 'repo:main' AS src, {_F.format('p')} AS dst, 'observed' AS assertion, 'code_index' AS source FROM (SELECT path AS p FROM d UNION ALL SELECT ts FROM d)
 UNION ALL SELECT 'DECLARES_IMPORT', {_F.format('path')}, 'repo:main:import-ref:python:' || url_encode(raw), 'observed', 'code_index' FROM (SELECT path, unnest(['os.path', 'src.d' || (doc_id + 1) || '.f' || (doc_id + 1)]) AS raw FROM d WHERE ok)
 UNION ALL SELECT 'DECLARES_IMPORT', {_F.format('ts')}, 'repo:main:import-ref:typescript:' || url_encode('./d' || (doc_id + 1)), 'observed', 'code_index' FROM d
-UNION ALL SELECT 'HAS_TOPIC', {_F.format('path')}, 'repo:main:topic:' || lang, 'default', 'repometa_policy' FROM d UNION ALL SELECT 'HAS_TOPIC', {_F.format('path')}, 'repo:main:topic:' || source, 'declared', 'repometa_annotation' FROM d WHERE doc_id % 4 = 0
+UNION ALL SELECT 'HAS_TOPIC', {_F.format('path')}, 'repo:main:topic:' || lang, 'default', 'metadata_policy' FROM d UNION ALL SELECT 'HAS_TOPIC', {_F.format('path')}, 'repo:main:topic:' || source, 'declared', 'metadata_annotation' FROM d WHERE doc_id % 4 = 0
 UNION ALL SELECT 'DEFINES', {_F.format('path')}, id, 'resolved', 'python_ast' FROM s UNION ALL SELECT 'ANCHORS', id, 'repo:main:anchor:python_ast:' || url_encode(path) || ':' || url_encode(span), 'resolved', 'python_ast' FROM s
 UNION ALL SELECT 'CALLS', a.id, b.id, 'resolved', 'python_ast' FROM {_SYM_OF} AS a JOIN {_SYM_OF} AS b ON (a.name = 'C' || a.doc_id || '.go' AND b.name = 'C' || a.doc_id || '.step') OR (a.name = 'f' || a.doc_id AND (b.name = 'g' || a.doc_id OR b.name = 'f' || (a.doc_id + 1)))
 UNION ALL SELECT 'RESOLVES_TO', 'repo:main:import-ref:python:' || url_encode('src.d' || (doc_id + 1) || '.f' || (doc_id + 1)), {_F.format("'src/d' || (doc_id + 1) || '.py'")}, 'resolved', 'python_import_resolver' FROM d WHERE ok AND followed
