@@ -23,7 +23,6 @@ lose. Other columns of ``docs``, whatever their names, are neither read nor retu
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -227,8 +226,3 @@ def drawn(docs: DataFrame, target: DataFrame, text: str = "text", percent: int =
     taken = found.filter((F.col("score") > end.score) | ((F.col("score") == end.score) & ~same & F.coalesce(before, F.lit(False))))
     tied = last.filter(same).orderBy(F.col(f"whole.`{text}`")).limit(int(end.left - (at["upto"] - at["count"])))
     return taken.unionByName(tied).select("whole.*")
-
-
-def expected_gumbel(h: int) -> int:
-    """The noise of a hash, in plain arithmetic."""
-    return math.floor(-SCALE * math.log(-math.log((h + 0.5) / 4294967296)))
