@@ -120,8 +120,15 @@ def of_labels(labels: DataFrame, nodes: DataFrame, edges: DataFrame, matches: in
     """q, token, selector, path, section, score, n_matches, n_paths, text: the evidence of each label that fits something.
 
     The text has the first ``matches`` matches and ``shown_paths`` paths; ``path`` names the evidence by a digest of what was
-    asked, what was found, and that text.
+    asked, what was found, and that text. What several questions ask alike is answered once, for all of them.
     """
+    labels = kept(labels.filter("q is not null").select(*LABEL).distinct(), "labels")
+    each = labels.select(F.lit(0).alias("q"), "token", "selector").distinct()
+    rows = _evidence(each, nodes, edges, matches, shown_paths)
+    return labels.join(rows.drop("q"), ["token", "selector"]).select("q", *rows.drop("q").columns)
+
+
+def _evidence(labels: DataFrame, nodes: DataFrame, edges: DataFrame, matches: int, shown_paths: int) -> DataFrame:
     count, found, paths = answers(labels, nodes, edges)
     name = F.coalesce("qualified_name", "path", "id")
     shown = nodes.select("id", name.alias("name"), F.coalesce("path", F.lit("")).alias("at"), F.coalesce("qualified_name", F.lit("")).alias("qualified"))

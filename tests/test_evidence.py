@@ -46,6 +46,15 @@ def test_candidates(spark, graph):
     assert candidates.graph_candidates(asked(spark, "nothing here"), *graph).count() == 0
 
 
+def test_questions_alike_are_answered_once(spark, graph, monkeypatch):
+    asked_of = []
+    answers = candidates.answers
+    monkeypatch.setattr(candidates, "answers", lambda labels, *rest: (asked_of.append(labels.count()), answers(labels, *rest))[1])
+    labels = spark.createDataFrame([(q, x, "callers_of") for q in range(20) for x in ("go", "run", "gone", f"own{q}")] + [(None, "go", "callers_of")], "q int, token string, selector string")
+    rows = candidates.of_labels(labels, *graph).collect()
+    assert asked_of == [23] and {(r["q"], r["token"], r["n_matches"], r["n_paths"]) for r in rows} == {(q, *x) for q in range(20) for x in (("go", 1, 2), ("run", 2, 0))} and len(rows) == 40
+
+
 def test_labels_walk_apart(spark, graph):
     seeds = spark.createDataFrame([("a", "f1"), ("b", "s3"), ("b", "s3"), ("c", "zz")], "label string, id string")
     seen, paths = candidates.labelled_walk(graph[1], seeds, ["label"], 2)
