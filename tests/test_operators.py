@@ -34,6 +34,20 @@ def test_paths_and_tokens(spark):
     assert "[REDACTED]" in one(spark, t.redacted(x), "Authorization: Bearer abc.def")
 
 
+def test_redaction_as_its_sql(spark, tmp_path):
+    import duckdb
+
+    from tessella.registry import ORACLE_SQL, QUERIES
+
+    texts = ["TOKEN = ABC x", "token = abc\nnext line, more", "mytoken=1 b", "Bearer  a.b\tc", "bearer\tx", "API-KEY: 1", "Api_Key:\t1;2", "secret\n= 3", "password=\u00a0x y", "Ünï token: é " * 3000, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = dict(con.execute(ORACLE_SQL["redact_secrets"]).fetchall())
+    assert {r["doc_id"]: r["digest"] for r in QUERIES["redact_secrets"](spark, str(tmp_path)).collect()} == want and len(want) == len(texts)
+    assert one(spark, t.redacted(F.col("x")), "TOKEN = ABC\nx") == "TOKEN = [REDACTED]\nx"  # in general any case is meant
+
+
 def test_walk_ends_and_keeps_least_depth(spark):
     e = spark.createDataFrame([("CALLS", "a", "b"), ("CALLS", "b", "c"), ("CALLS", "c", "a"), ("DEFINES", "f", "b"), ("CALLS", None, "b")], "kind string, src string, dst string")
     seeds = spark.createDataFrame([("c",)], "id string")
