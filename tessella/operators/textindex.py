@@ -18,8 +18,8 @@ from tessella.operators import context, retrieval
 WORD = r"([\p{L}\p{N}]+)"
 #: Fixed value: what counts as a word of a text where short ones are told apart.
 COUNTED = r"([A-Za-z0-9_./:-]+|[가-힣]+)"
-#: A frequent word's postings are dealt to so many files.
-SPREAD = 8
+#: Rows that one task sorts when an index is written, and that one task groups in a search, some 100 to 200 MB of memory.
+SORTED, GROUPED = 2_000_000, 500_000
 LEAST_IDF = 1e-6
 
 
@@ -67,11 +67,14 @@ def build(docs: DataFrame, key: str, fields: list[str], text: str, word: str = W
 
 def write(docs: DataFrame, path: str, key: str, fields: list[str], text: str, buckets: int = 64, word: str = WORD) -> None:
     """Writes an index under ``path``, a folder that all executors share. Complete when this returns."""
+    spark = docs.sparkSession
+    sizes(docs, key, fields, text, word).write.parquet(f"{path}/sizes")
+    n = spark.read.parquet(f"{path}/sizes").agg(F.sum("length")).head()[0] or 0
     found = postings(docs, key, fields, word).withColumn("bucket", _bucket(buckets))
-    dealt = found.repartition(F.col("bucket"), F.pmod(F.xxhash64("doc"), F.lit(SPREAD))).sortWithinPartitions("bucket", "word", "doc", "field", "at")
+    # by ranges, so that a frequent word is cut between documents; as many tasks as the postings need
+    dealt = found.repartitionByRange(max(spark.sparkContext.defaultParallelism, -(-n // SORTED)), "bucket", "word", "doc").sortWithinPartitions("bucket", "word", "doc", "field", "at")
     dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
-    sizes(docs, key, fields, text, word).write.parquet(f"{path}/sizes")
-    docs.sparkSession.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{path}/layout")  # last: the index is whole
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{path}/layout")  # last: the index is whole
 
 
 def read(spark: SparkSession, path: str) -> Index:
@@ -89,7 +92,10 @@ def frequencies(index: Index, wanted: DataFrame) -> DataFrame:
     parts = wanted.select("phrase").distinct().select("phrase", F.size("phrase").alias("n"), F.posexplode("phrase").alias("i", "word"))
     met = index.of(parts).join(retrieval.small(parts), "word")
     single = met.filter("n = 1").groupBy("phrase", "doc").agg(F.count(F.lit(1)).alias("f"))
-    starts = met.filter("n > 1").groupBy("phrase", "doc", "field", "n", (F.col("at") - F.col("i")).alias("start")).agg(F.count(F.lit(1)).alias("words"))
+    longer = met.filter("n > 1")
+    # dealt before they are grouped: nearly every place begins a group of its own
+    dealt = longer.repartition(max(longer.sparkSession.sparkContext.defaultParallelism, -(-longer.count() // GROUPED)), "phrase", "doc")
+    starts = dealt.groupBy("phrase", "doc", "field", "n", (F.col("at") - F.col("i")).alias("start")).agg(F.count(F.lit(1)).alias("words"))
     longer = starts.filter("words = n").groupBy("phrase", "doc").agg(F.count(F.lit(1)).alias("f"))
     return single.unionByName(longer)
 

@@ -86,6 +86,18 @@ def test_phrases_by_position(spark, tmp_path):
     assert sorted(map(str, textindex.phrase_bm25(built, q).collect())) == sorted(map(str, textindex.phrase_bm25(index, q).collect()))
 
 
+def test_index_tasks_stay_small(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(textindex, "SORTED", 1000)
+    monkeypatch.setattr(textindex, "GROUPED", 500)
+    docs = spark.range(2000).select(F.col("id"), F.lit("one one one two one").alias("body"))
+    textindex.write(docs, str(tmp_path / "i"), "id", ["body"], "body", buckets=4)
+    index = textindex.read(spark, str(tmp_path / "i"))
+    held = [r["count"] for r in index.postings.groupBy(F.input_file_name()).count().collect()]
+    assert sum(held) == 10_000 and max(held) < 2500  # a word of four fifths of all places is cut too
+    found = textindex.frequencies(index, spark.createDataFrame([(["one", "one"],)], "phrase array<string>")).collect()
+    assert len(found) == 2000 and {r["f"] for r in found} == {2}
+
+
 def test_short_texts_by_their_own_words(spark):
     body = [("doc", "docs/a/long/path.md", "A long section", 1, "token two"), ("doc", "b.md", "", 1, "token and five more words here")]
     evidence = spark.createDataFrame(body, "kind string, path string, section string, line_start int, text string").withColumn("id", F.col("path"))
