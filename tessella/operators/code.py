@@ -8,10 +8,12 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.sources.shared import small_batches
+
 PARSED = "path string, parse_status string, kind string, name string, qualified_name string, parent string, start_line int, end_line int, module string, alias string, level int, caller string, start_col int, end_col int"
 
 
@@ -91,19 +93,36 @@ def _dotted(node: ast.AST) -> str:
     return ".".join(reversed(parts))
 
 
+#: Rows of a task's result that are made at once, and characters of text that are taken for them.
+ROWS, CHARS = 5_000, 4_000_000
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows of the files in ``batches`` (path, text), in blocks of bounded size; one file's text at a time is a Python string."""
+    rows, chars = [], 0
+    for batch in batches:
+        paths, texts = batch.column("path"), batch.column("text")
+        for i in range(batch.num_rows):
+            text = texts[i].as_py() or ""
+            rows.extend(_parse(paths[i].as_py(), text))
+            chars += len(text)
+            if len(rows) >= ROWS or chars >= CHARS:
+                yield rows
+                rows, chars = [], 0
+    if rows:
+        yield rows
+
+
 def parsed_python(files: DataFrame) -> DataFrame:
     """All rows of _parse() for ``files`` (path, text); each file is parsed once, in the task that holds it."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in PARSED.split(", ")]
-        for batch in batches:
-            rows = [r for path, text in zip(batch["path"], batch["text"], strict=True) for r in _parse(path, text or "")]
-            out = pd.DataFrame(rows, columns=names)
-            for c in ("start_line", "end_line", "level", "start_col", "end_col"):
-                out[c] = out[c].astype("Int32")
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(n, pa.int32() if kind == "int" else pa.string()) for n, kind in (c.split() for c in PARSED.split(", "))])
+        for rows in _blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(column, f.type) for column, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return files.select("path", "text").mapInPandas(run, PARSED)
+    small_batches(files.sparkSession)
+    return files.select("path", "text").mapInArrow(run, PARSED)
 
 
 #: Fixed value: how a script names what it imports.
@@ -238,14 +257,16 @@ def _effects(imports: Column, called: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*by_import, *by_call))))
 
 
-def file_index(files: DataFrame) -> DataFrame:
+def file_index(files: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
     """path, language, status, symbols, imports, calls, packages, effects of ``files`` (path, text): sorted names, each once.
 
+    ``parsed`` holds what ``parsed_python`` gave for its Python files, where that is at hand; else they are parsed here.
     A Python file that can't be parsed has the status parse_error, one of another language skipped; both without names.
     """
     sorted_set = lambda x: F.array_sort(F.array_distinct(F.filter(x, lambda y: y != "")))
     kinds = F.col("kind")
-    parsed = parsed_python(files.filter(language(F.col("path")) == "python"))
+    if parsed is None:
+        parsed = parsed_python(files.filter(language(F.col("path")) == "python"))
     base = F.concat(F.repeat(F.lit("."), F.coalesce("level", F.lit(0))), "module")
     raw = F.when(F.col("name").isNull(), F.col("module")).when(F.col("module") == "", F.concat(base, "name")).otherwise(F.concat_ws(".", base, "name"))
     what = F.when(kinds.isin("class", "function", "method"), "symbol").when(kinds == "import", "import").when(kinds == "called", "call")

@@ -1,4 +1,4 @@
-"""Paths all executors share."""
+"""Paths all executors share, and how much of a table one Python worker holds at once."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL = "/tmp/checkpoints/tessella"
+BATCH_ROWS, BATCH_BYTES = 256, "4m"
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
@@ -25,3 +26,11 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     path = fresh_path(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows and bytes, for texts. Results are lazy, so this stays set; a smaller limit on rows is left alone."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

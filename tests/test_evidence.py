@@ -194,6 +194,17 @@ def test_calls(spark):
     }
 
 
+def test_parsed_in_small_blocks(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(code, "ROWS", 10)
+    texts = ["def f():\n    pass\n" * 3] * 50 + [None, "def (:"]
+    batch = pa.RecordBatch.from_pydict({"path": [f"{i}.py" for i in range(52)], "text": texts})
+    blocks = list(code._blocks(iter([batch, batch])))
+    assert max(map(len, blocks)) < 10 + 4 and [r for x in blocks for r in x] == [r for i in (*range(52), *range(52)) for r in code._parse(f"{i}.py", texts[i] or "")]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256 or code.parsed_python(spark.createDataFrame([("a", "b")], "path string, text string")) and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "256"
+
+
 def test_file_index(spark):
     sources = spark.createDataFrame(
         [("a.py", "import os.path\nfrom . import x\nfrom ..b.c import d\n\n\nclass K:\n    def f(self):\n        self.g(open('x'))\n        h().i.j()\n"), ("b.py", "def (:"), ("c/d.TS", "import {a} from 'axios';\nexport async function go() { if (x) run.it(1); }\nconst y = () => Date.now()"), ("Dockerfile", "RUN x"), ("e", None), ("f.mjs", None), (".py", "x")],
