@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import code
 from tessella.registry import query, table
+from tessella.sources.shared import kept
 
 #: A module of document {i}, whose words it holds as a comment: it imports from the next one's module and calls it.
 MODULE = """import os.path
@@ -52,7 +53,7 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _resolved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     files = modules(spark, sf_dir)
-    parsed = code.parsed_python(files)
+    parsed = kept(code.parsed_python(files), "parsed")  # read many times
     return parsed, code.resolved_python(parsed.filter("kind = 'import'").select("path", "module", "name", "alias", "level"), files)
 
 

@@ -205,6 +205,13 @@ def test_parsed_in_small_blocks(spark, monkeypatch):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256 or code.parsed_python(spark.createDataFrame([("a", "b")], "path string, text string")) and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "256"
 
 
+def test_sources_are_parsed_once(spark, sf_dir):
+    from tessella.plans import code_queries
+
+    frames = [code_queries._resolved(spark, sf_dir)[0]]
+    assert not any("MapIn" in x._jdf.queryExecution().optimizedPlan().toString() for x in frames)  # read again, not parsed again
+
+
 def test_file_index(spark):
     sources = spark.createDataFrame(
         [("a.py", "import os.path\nfrom . import x\nfrom ..b.c import d\n\n\nclass K:\n    def f(self):\n        self.g(open('x'))\n        h().i.j()\n"), ("b.py", "def (:"), ("c/d.TS", "import {a} from 'axios';\nexport async function go() { if (x) run.it(1); }\nconst y = () => Date.now()"), ("Dockerfile", "RUN x"), ("e", None), ("f.mjs", None), (".py", "x")],
