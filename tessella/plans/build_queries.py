@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from tessella.operators import build, code
 from tessella.plans import code_queries as c
 from tessella.registry import query, table
+from tessella.sources.shared import kept
 
 REPO = "main"
 Sources = tuple[DataFrame, DataFrame, DataFrame, DataFrame]
 
 
 def _tables(spark: SparkSession, sf_dir: str, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """parsed and index of ``files`` (path, text)."""
-    return code.parsed_python(files.filter("path like '%.py'")), code.file_index(files).withColumn("classification", F.lit("indexed_only"))
+    """parsed and index of ``files`` (path, text), each file parsed once."""
+    parsed = kept(code.parsed_python(files.filter("path like '%.py'")), "parsed")
+    return parsed, kept(code.file_index(files, parsed).withColumn("classification", F.lit("indexed_only")), "index")
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,9 +206,9 @@ def test_parsed_in_small_blocks(spark, monkeypatch):
 
 
 def test_sources_are_parsed_once(spark, sf_dir):
-    from tessella.plans import code_queries
+    from tessella.plans import build_queries, code_queries
 
-    frames = [code_queries._resolved(spark, sf_dir)[0]]
+    frames = [code_queries._resolved(spark, sf_dir)[0], *build_queries._tables(spark, sf_dir, build_queries._files(spark, sf_dir))]
     assert not any("MapIn" in x._jdf.queryExecution().optimizedPlan().toString() for x in frames)  # read again, not parsed again
 
 
