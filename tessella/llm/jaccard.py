@@ -19,7 +19,8 @@ A document is the set of its distinct 5-word shingles (64-bit hashes). Two sets
     verified with whole sets.
 5.  *Links, not pairs.* Only links between components matter, so each group is first compared with one other: of the
     centres of its lists (groups chosen by hash, others in each round) that which it meets most often; later, where it is
-    still apart from others of its lists, with a few. Sets already connected are never compared again: thousands of near
+    still apart from others of its lists, with a few, and with a few of those that lack the same shingles of a third set as it
+    does. Sets already connected are never compared again: thousands of near
     copies cost some comparisons each. A last round compares all that are still apart in the lists if what
     they share in the prefixes leaves a link possible, so no link is lost.
 
@@ -56,6 +57,7 @@ BUCKET_BYTES = 8 << 20
 MANY_BUCKETS = 256  # from here on 40 bits of the hash go with the bucket's number
 TEXT_BYTES_A_SHINGLE = 7
 ROUNDS, CENTRES = 4, 8
+NEAREST, DIFFERENCES = 3, 12
 SPARE = 8
 PART_SETS = 4096
 CHUNK_SHINGLES = 1 << 19
@@ -338,6 +340,31 @@ def _unlike_lists(lists: DataFrame) -> DataFrame:
     return lists.join(same, "token").groupBy("list", "r").agg(F.min("i").alias("i"), *[F.first(x).alias(x) for x in ("g", "n", "c")])
 
 
+def _by_difference(now: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of sets still apart, a few each: those with most in common of what tells them from one set that both meet.
+
+    Copies of one text, each changed in other places, share nearly all of their lists, whether they link or not. What they lack
+    of a third copy tells them apart: two sets differ by what both differ from the third, less what they differ in alike.
+    Lists are of two such shingles, of a few by hash, so that sets which share two changes meet in a short one.
+    """
+    chosen = lambda *k: F.struct(F.xxhash64("r", *[F.lit(x) for x in k]), F.col("r"))
+    first = now.groupBy("token").agg(F.min_by("r", chosen(turn)).alias("z"))
+    met = now.join(first, "token").filter("r <> z").groupBy("r", "n", "c", "z").agg(F.count(F.lit(1)).alias("times"))
+    met = met.groupBy("r", "n", "c").agg(F.max_by("z", F.struct("times", "z")).alias("z"))
+    met = met.join(sets.select(F.col("set").alias("r"), "own", F.col("tokens").alias("t")), "r").join(sets.select(F.col("set").alias("z"), F.col("tokens").alias("u")), "z")
+    met = met.withColumn("differ", F.array_except("u", "t")).filter((F.size("differ") > 0) & (2 * F.size("differ") <= F.col("n")))
+    some = f"slice(array_sort(transform(differ, x -> struct(xxhash64(x, {turn}) as h, x as x))), 1, {DIFFERENCES})"
+    twos = "flatten(transform(some, (x, i) -> transform(slice(some, i + 1, size(some)), y -> xxhash64(x.x, y.x))))"
+    met = met.withColumn("some", F.expr(some)).withColumn("scale", F.size("differ") / F.size("some"))
+    lists = met.select("z", "r", "c", "scale", (F.size("differ") + F.size(F.array_except("t", "u")) + F.col("own")).alias("away"), F.explode(F.expr(twos)).alias("token"))
+    centre = [F.min_by(F.struct("r", "c", "away"), chosen(turn, k)).alias(f"z{k}") for k in range(NEAREST)]
+    centres = lists.groupBy("z", "token").agg(*centre).select("z", "token", F.explode(F.array_distinct(F.array(*[f"z{k}" for k in range(NEAREST)]))).alias("x"))
+    centres = centres.select("z", "token", F.col("x.r").alias("a"), F.col("x.c").alias("d"), F.col("x.away").alias("far"))
+    met = lists.join(centres, ["z", "token"]).filter("c <> d").groupBy("r", "a").agg((F.first("far") - 2 * F.first("scale") * F.sqrt(2 * F.count(F.lit(1)))).alias("far"))
+    near = F.row_number().over(Window.partitionBy("r").orderBy("far", F.xxhash64("a", F.lit(turn))))  # no more than differences and centres
+    return met.withColumn("place", near).filter(F.col("place") <= CENTRES).select(F.least("a", "r").alias("a"), F.greatest("a", "r").alias("b"))
+
+
 def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """set, class for the ``sets`` (set, n, own, p, tokens; repeats are one) that link with another."""
     spark = sets.sparkSession
@@ -372,17 +399,18 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         return kept(moved.union(fresh))
 
     def entries(lists: DataFrame) -> DataFrame:
-        """Of lists whose members are still apart: of each group (g) and class (c) in it one member (r)."""
+        """Of lists whose members are still apart: of each group (g) and class (c) in it one member (r), with how many of the list are of other classes."""
         of_class = known(members, "set", "c").groupBy("g", "c").agg(F.min("set").alias("r"))
         with_class = lists.join(of_class, "g")
-        apart = with_class.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count(F.lit(1)).alias("size")).filter("least <> most")
-        return kept(with_class.join(apart.select("token", "size"), "token"))
+        alike = with_class.groupBy("token", "c").agg(F.count(F.lit(1)).alias("alike"))
+        apart = alike.groupBy("token").agg(F.sum("alike").alias("size"), F.max("alike").alias("most")).filter("most < size")
+        return kept(with_class.join(apart.select("token", "size"), "token").join(alike, ["token", "c"]).withColumn("apart", F.col("size") - F.col("alike")).drop("size", "alike"))
 
     now, postings = entries(lists.select("token", "g", "n", "i")), None
     for turn in range(ROUNDS):
-        sums = now.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("squares")).head()
+        sums = now.agg(F.count(F.lit(1)).alias("n"), F.sum("apart").alias("pairs")).head()
         postings = postings or sums["n"]
-        if turn and (sums["squares"] or 0) <= SPARE * postings:
+        if turn and (sums["pairs"] or 0) <= SPARE * postings:
             break
         many = CENTRES if turn else 1  # the first round is of all groups, the others of those still apart
         centre = [F.min_by(F.struct("r", "n", "i", "c"), F.struct(F.xxhash64("r", F.lit(turn), F.lit(k)), F.col("r"))) for k in range(many)]
@@ -393,7 +421,9 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         often = F.row_number().over(Window.partitionBy("r").orderBy(F.col("times").desc(), F.xxhash64("a", F.lit(turn))))  # no more than lists and centres
         pairs = met.groupBy("r", "a").agg(F.count(F.lit(1)).alias("times")).withColumn("place", often).filter(F.col("place") <= many)
         pairs = pairs.select(F.least("a", "r").alias("a"), F.greatest("a", "r").alias("b"))
-        if not turn:
+        if turn:
+            pairs = pairs.union(_by_difference(now, sets, turn))
+        else:
             pairs = pairs.union(members.filter("set <> g").select(F.col("g").alias("a"), F.col("set").alias("b")))
         classes = join_up(pairs.distinct())
         now = entries(now.select("token", "g", "n", "i").distinct())
