@@ -407,6 +407,7 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         return kept(with_class.join(apart.select("token", "size"), "token").join(alike, ["token", "c"]).withColumn("apart", F.col("size") - F.col("alike")).drop("size", "alike"))
 
     now, postings = entries(lists.select("token", "g", "n", "i")), None
+    let_go(spark)
     for turn in range(ROUNDS):
         sums = now.agg(F.count(F.lit(1)).alias("n"), F.sum("apart").alias("pairs")).head()
         postings = postings or sums["n"]
@@ -426,9 +427,11 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         else:
             pairs = pairs.union(members.filter("set <> g").select(F.col("g").alias("a"), F.col("set").alias("b")))
         classes = join_up(pairs.distinct())
+        let_go(spark)
         now = entries(now.select("token", "g", "n", "i").distinct())
         let_go(spark)
     now = kept(_unlike_lists(now))
+    let_go(spark)
     other = now.select("list", F.col("r").alias("s"), F.col("g").alias("h"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("d"))
     pairs = now.join(other, "list").filter("r < s and c <> d").filter(_near(percent)).select("r", "g", "s", "h").distinct()
     pairs = pairs.join(groups.select("g", "n", "own", F.col("prefix").alias("p")), "g")
