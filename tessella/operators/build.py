@@ -4,7 +4,8 @@ Every node and edge is told by an *owner*, a file or a task: what it tells are c
 owner; edges: the five-part key, facts, owner). The snapshot is their fold: of a node the contribution of least rank (indexed
 files before what receipts only mention), of an edge key one. A change of files takes back the contributions of these files and
 of all that import them or may, tells theirs anew, and folds only the keys that either touched; all else stays as it was, so
-that the work is in proportion to the change, and the result equals a whole build.
+that the work is in proportion to the change, and the result equals a whole build. Where a large share of files is touched, what
+all tell is folded anew instead.
 
 Tables: ``index`` (as ``code.file_index`` with classification), ``parsed`` (``code.parsed_python``), ``metadata`` (path, areas,
 policy_topics, annotation_topics: arrays), ``receipts`` (task_id, status, task_path, archive_path, content_sha256,
@@ -13,8 +14,9 @@ changed_entries: array of struct<change, path, old_path>). Null arrays are empty
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,9 @@ SURE, TOLD, MENTIONED = 0, 1, 2
 # Who resolves imports, by language.
 RESOLVERS = {"python": "python_import_resolver", "script": "js_ts_relative_import_resolver"}
 
+#: Of changes that touch more than this share of the files, everything is folded anew: one shuffle, where telling apart what was touched takes several.
+FEW = 0.05
+
 
 class Truncated(ValueError):
     """The index is not complete: a graph of part of the files would look whole."""
@@ -38,12 +43,23 @@ class Truncated(ValueError):
 
 @dataclass(frozen=True)
 class Graph:
-    """A snapshot and the contributions it is folded from."""
+    """A snapshot and the contributions it is folded from: nodes and edges each told, and written, when first asked for."""
+
+    tell_nodes: Callable[[], tuple[DataFrame, DataFrame]]
+    tell_edges: Callable[[], tuple[DataFrame, DataFrame]]
+
+    @cached_property
+    def _nodes(self) -> tuple[DataFrame, DataFrame]:
+        return self.tell_nodes()
 
-    nodes: DataFrame
-    edges: DataFrame
-    told_nodes: DataFrame
-    told_edges: DataFrame
+    @cached_property
+    def _edges(self) -> tuple[DataFrame, DataFrame]:
+        return self.tell_edges()
+
+    nodes = property(lambda self: self._nodes[1])
+    edges = property(lambda self: self._edges[1])
+    told_nodes = property(lambda self: self._nodes[0])
+    told_edges = property(lambda self: self._edges[0])
 
 
 def _id(*parts: Column | str) -> Column:
@@ -127,7 +143,7 @@ def _scripts(index: DataFrame) -> DataFrame:
 
 def _told_by_links(repo: str, index: DataFrame, parsed: DataFrame, only: DataFrame | None) -> list[DataFrame]:
     """Resolved imports and calls of all files, or of ``only`` (path) against all files."""
-    some = (lambda rows: rows) if only is None else (lambda rows: rows.join(only, "path", "left_semi"))
+    some = _some(only)
     resolved = kept(code.resolved_python(some(_imports(parsed)), index), "resolved")
     base = F.concat(F.repeat(F.lit("."), F.col("level")), "module")
     raw = F.when(F.col("name").isNull(), F.col("module")).when(F.col("module") == "", F.concat(base, "name")).otherwise(F.concat_ws(".", base, "name"))
@@ -172,13 +188,22 @@ def _told_by_receipts(repo: str, receipts: DataFrame) -> tuple[list[DataFrame],
     return nodes, edges
 
 
-def contributions(repo: str, index: DataFrame, parsed: DataFrame, metadata: DataFrame, receipts: DataFrame, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """What all owners tell, or those of ``only`` (path) alone: nodes and edges. Receipts are told anew each time."""
-    some = (lambda rows: rows) if only is None else (lambda rows: rows.join(only, "path", "left_semi"))
-    spark = index.sparkSession
-    root = _node(spark.range(1), _id("repo", F.lit(repo)), "repository", SURE, F.lit(""))
-    files, symbols_, tasks = _told_by_files(repo, some(index), metadata), _told_by_symbols(repo, some(parsed)), _told_by_receipts(repo, receipts)
-    return _union([root, *files[0], *symbols_[0], *tasks[0]]), _union([*files[1], *symbols_[1], *tasks[1], *_told_by_links(repo, index, parsed, only)])
+def _some(only: DataFrame | None) -> Callable[[DataFrame], DataFrame]:
+    return (lambda rows: rows) if only is None else (lambda rows: rows.join(only, "path", "left_semi"))
+
+
+def contributed_nodes(repo: str, index: DataFrame, parsed: DataFrame, metadata: DataFrame, receipts: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """Nodes that all owners tell, or those of ``only`` (path) alone. Receipts are told anew each time."""
+    some = _some(only)
+    root = _node(index.sparkSession.range(1), _id("repo", F.lit(repo)), "repository", SURE, F.lit(""))
+    return _union([root, *_told_by_files(repo, some(index), metadata)[0], *_told_by_symbols(repo, some(parsed))[0], *_told_by_receipts(repo, receipts)[0]])
+
+
+def contributed_edges(repo: str, index: DataFrame, parsed: DataFrame, metadata: DataFrame, receipts: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """As ``contributed_nodes``, of edges."""
+    some = _some(only)
+    told = [*_told_by_files(repo, some(index), metadata)[1], *_told_by_symbols(repo, some(parsed))[1], *_told_by_receipts(repo, receipts)[1]]
+    return _union([*told, *_told_by_links(repo, index, parsed, only)])
 
 
 def fold_nodes(told: DataFrame) -> DataFrame:
@@ -195,8 +220,13 @@ def build(repo: str, index: DataFrame, parsed: DataFrame, metadata: DataFrame, r
     if truncated:
         raise Truncated("graph build requires a complete code index")
     # read many times: written once, so that no file is parsed twice
-    nodes, edges = (kept(x, "told") for x in contributions(repo, kept(index, "index"), kept(parsed, "parsed"), metadata, receipts))
-    return Graph(fold_nodes(nodes), fold_edges(edges), nodes, edges)
+    told = (repo, kept(index, "index"), kept(parsed, "parsed"), metadata, receipts)
+
+    def whole(tell: Callable[..., DataFrame], fold: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+        rows = kept(tell(*told), "told")
+        return rows, fold(rows)
+
+    return Graph(lambda: whole(contributed_nodes, fold_nodes), lambda: whole(contributed_edges, fold_edges))
 
 
 def affected(changed: DataFrame, *parsed_and_index: tuple[DataFrame, DataFrame]) -> DataFrame:
@@ -215,17 +245,20 @@ def updated(repo: str, old: Graph, before: tuple[DataFrame, DataFrame], after: t
     """
     before, after = ((kept(parsed, "parsed"), kept(index, "index")) for parsed, index in (before, after))
     some = kept(affected(changed, before, after), "affected")
-    nodes, edges = (kept(x, "told") for x in contributions(repo, after[1], after[0], metadata, receipts, some))
-    # files, and all that isn't one: tasks and the repository are told anew
-    owners = some.select(F.col("path").alias("owner")).union(old.told_nodes.filter("owner = '' or startswith(owner, 'task:')").select("owner").distinct()).distinct()
-    stay = lambda told: told.join(owners, "owner", "left_anti")
-    gone = lambda told: told.join(owners, "owner", "left_semi")
-    all_nodes, all_edges = stay(old.told_nodes).unionByName(nodes), stay(old.told_edges).unionByName(edges)
-    ids = gone(old.told_nodes).select("id").union(nodes.select("id")).distinct()
-    keys = gone(old.told_edges).select(*EDGE_KEY).union(edges.select(*EDGE_KEY)).distinct()
-    new_nodes = old.nodes.join(ids, "id", "left_anti").unionByName(fold_nodes(all_nodes.join(ids, "id", "left_semi")))
-    new_edges = old.edges.join(keys, EDGE_KEY, "left_anti").unionByName(fold_edges(all_edges.join(keys, EDGE_KEY, "left_semi")))
-    return Graph(new_nodes, new_edges, all_nodes, all_edges)
+    few = some.count() <= FEW * after[1].count()
+    # files by what is affected, and all that isn't one: tasks and the repository are told anew
+    files, rest = some.select(F.col("path").alias("owner")), F.coalesce((F.col("owner") == "") | F.startswith("owner", F.lit("task:")), F.lit(False))
+
+    def anew(tell: Callable[..., DataFrame], fold: Callable[[DataFrame], DataFrame], told: DataFrame, folded: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+        rows = kept(tell(repo, after[1], after[0], metadata, receipts, some), "told")
+        every = told.filter(~rest).join(files, "owner", "left_anti").unionByName(rows)
+        if not few:
+            return every, fold(every)
+        gone = told.filter(rest).unionByName(told.filter(~rest).join(files, "owner", "left_semi").select(told.columns))
+        keys = gone.select(*key).union(rows.select(*key)).distinct()
+        return every, folded.join(keys, key, "left_anti").unionByName(fold(every.join(keys, key, "left_semi")))
+
+    return Graph(lambda: anew(contributed_nodes, fold_nodes, old.told_nodes, old.nodes, ["id"]), lambda: anew(contributed_edges, fold_edges, old.told_edges, old.edges, EDGE_KEY))
 
 
 def row_digest(columns: list[str]) -> Column:

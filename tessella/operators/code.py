@@ -226,8 +226,8 @@ LANGUAGES = {
 NAMED_LANGUAGES = {"Dockerfile": "dockerfile"}
 SCRIPTS = ["javascript", "typescript"]
 #: How scripts name functions, classes and variables, and what they call; words that aren't calls.
-SCRIPT_SYMBOL = r"\b(?:export\s+)?(?:async\s+)?(?:function|class)\s+([A-Za-z_$][\w$]*)|\b(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*="
-SCRIPT_CALL = r"\b([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)?)\s*\("
+SCRIPT_SYMBOL = r"(?=[aceflv])\b(?:export\s+)?(?:(?:async\s+)?(?:function|class)\s+([A-Za-z_$][\w$]*)|(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=)"
+SCRIPT_CALLED = r"\b([A-Za-z_$][\w$]*+(?:\.[A-Za-z_$][\w$]*+)?+)\s*+\z"  # before a parenthesis
 NO_CALLS = ["if", "for", "while", "switch", "catch", "function"]
 #: Effects by the packages a file imports, and by what it calls.
 EFFECT_PACKAGES = {
@@ -274,9 +274,12 @@ def file_index(files: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
     named = parsed.groupBy("path", "parse_status").agg(*[F.collect_set(F.when(what == k, value)).alias(f"{k}s") for k in ("symbol", "import", "call")])
     named = named.select("path", F.when(F.col("parse_status") == "ok", "ok").otherwise("parse_error").alias("status"), "symbols", "imports", "calls")
     text, all_of = F.coalesce("text", F.lit("")), lambda pattern, i: F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?U){pattern}"), i)
+    defined = F.transform(all_of(SCRIPT_SYMBOL, 0), lambda x: F.concat(*[F.regexp_extract(x, f"(?U){SCRIPT_SYMBOL}", i) for i in (1, 2)]))  # one of the two is empty
+    before = F.split(text, r"\(")  # and what is after the last one
+    called = F.transform(F.slice(before, 1, F.size(before) - 1), lambda x: F.regexp_extract(x, f"(?U){SCRIPT_CALLED}", 1))  # empty where nothing is called
     scripts = files.filter(language(F.col("path")).isin(SCRIPTS)).select(
-        "path", F.lit("ok").alias("status"), F.concat(all_of(SCRIPT_SYMBOL, 1), all_of(SCRIPT_SYMBOL, 2)).alias("symbols"), F.regexp_extract_all(text, F.lit(SCRIPT_IMPORT), 1).alias("imports"),
-        F.filter(all_of(SCRIPT_CALL, 1), lambda x: ~x.isin(NO_CALLS)).alias("calls"),
+        "path", F.lit("ok").alias("status"), defined.alias("symbols"), F.regexp_extract_all(text, F.lit(SCRIPT_IMPORT), 1).alias("imports"),
+        F.filter(called, lambda x: ~x.isin(NO_CALLS)).alias("calls"),
     )
     none = F.array().cast("array<string>")
     others = files.filter(~language(F.col("path")).isin("python", *SCRIPTS)).select("path", F.lit("skipped").alias("status"), none.alias("symbols"), none.alias("imports"), none.alias("calls"))

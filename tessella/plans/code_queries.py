@@ -42,13 +42,18 @@ def _filled(template: str) -> Column:
     return out
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dealt evenly: however the table's files are cut, all tasks write and parse sources."""
+    return table(spark, sf_dir, "documents").select("doc_id", "source", "text").repartition("doc_id")
+
+
 def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = _documents(spark, sf_dir)
     return d.select(F.concat(F.lit("src/d"), "doc_id", F.lit(".py")).alias("path"), F.when(F.col("doc_id") % 10 == 7, _filled(BROKEN)).otherwise(_filled(MODULE)).alias("text"))
 
 
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.concat(F.lit("web/d"), "doc_id", F.lit(".ts")).alias("path"), _filled(SCRIPT).alias("text"))
+    return _documents(spark, sf_dir).select(F.concat(F.lit("web/d"), "doc_id", F.lit(".ts")).alias("path"), _filled(SCRIPT).alias("text"))
 
 
 def _resolved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -21,11 +21,15 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 
 
 def kept(df: DataFrame, what: str) -> DataFrame:
-    """The rows of ``df`` as a table in the shared folder: computed once, and safe from lost executors."""
+    """The rows of ``df`` as a table in the shared folder: computed once, and safe from lost executors. What is one already stays as it is."""
+    if getattr(df, "_is_kept", False):
+        return df
     spark = df.sparkSession
     path = fresh_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._is_kept = True
+    return table
 
 
 def small_batches(spark: SparkSession) -> None:

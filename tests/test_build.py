@@ -1,13 +1,15 @@
 """Graph build, its update, digests, and task packs on small tables with known answers."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import build, code, packs
-from tessella.sources import sinks
+from tessella.registry import QUERIES
+from tessella.sources import shared, sinks
 
 META = "path string, areas array<string>, policy_topics array<string>, annotation_topics array<string>"
 RECEIPTS = "task_id string, status string, task_path string, archive_path string, content_sha256 string, changed_entries array<struct<change: string, path: string, old_path: string>>"
@@ -69,6 +71,40 @@ def test_update_equals_build(spark, meta, receipts):
     assert {r["path"] for r in build.affected(changed, tables(spark, FILES), tables(spark, after)).collect()} >= {"a.py", "lib.py", "bad.py"}
 
 
+def test_few_changes_are_folded_by_what_they_touch(spark, meta, receipts, monkeypatch):
+    after = FILES | {"lib.py": "def other():\n    pass\n", "w/y.ts": ""}
+    changed = spark.createDataFrame([("lib.py",), ("w/y.ts",)], "path string")
+    old = build.build("main", *reversed(tables(spark, FILES)), meta, receipts)
+    monkeypatch.setattr(build, "FEW", 1.0)
+    new = build.updated("main", old, tables(spark, FILES), tables(spark, after), meta, receipts.filter("task_id = 'T-1'"), changed)
+    assert snapshot(new) == snapshot(build.build("main", *reversed(tables(spark, after)), meta, receipts.filter("task_id = 'T-1'")))
+
+
+def test_update_parses_and_tells_once(spark, sf_dir, monkeypatch):
+    parsed, told, real = [], [], code.parsed_python
+    monkeypatch.setattr(code, "parsed_python", lambda files: parsed.append(files.count()) or real(files))
+    monkeypatch.setattr(build, "kept", lambda df, what: told.append(what) or shared.kept(df, what))
+    ids = [r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    QUERIES["graph_build_delta"](spark, sf_dir)
+    # both states share what doesn't differ; edges are told for each state, and no nodes, which nothing asks for
+    assert sum(parsed) == len(ids) + sum(i % 9 == 0 for i in ids) and told.count("told") == 2
+    table = shared.kept(spark.range(3), "x")
+    assert shared.kept(table, "x") is table
+
+
+def test_scripts_by_plain_patterns(spark):
+    symbol = r"\b(?:export\s+)?(?:async\s+)?(?:function|class)\s+([A-Za-z_$][\w$]*)|\b(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*="
+    call = r"\b([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)?)\s*\("
+    texts = ["", "(", "a.b.c(", "if (x) foo \n(1)(2)", "x(()y(", "export async function f(a) { g(", "export export const y = 1; constx = 2; const z\n= f.g (", "let let = 3 class K", "a$b.$c (", "\u00e9(\u00e9a(a\u00e9(", "1a(2.b(", "export async const q = 1", "function (", "a . b(c .d(", "x)y(", "var v == 2; a..b(", "words only and no end"]
+    rng = random.Random(3)
+    texts += ["".join(rng.choice(["a", ".", "(", " ", "$", "1", "\n", "export ", "function ", "class ", "const ", "async ", "=", "\u00e9", "if"]) for _ in range(40)) for _ in range(300)]
+    found = code.file_index(spark.createDataFrame([(f"{i}.ts", x) for i, x in enumerate(texts)], "path string, text string"))
+    for r in found.collect():
+        x = texts[int(r["path"][:-3])]
+        assert r["symbols"] == sorted({y for z in re.findall(symbol, x) for y in z if y}), x
+        assert r["calls"] == sorted(set(re.findall(call, x)) - set(code.NO_CALLS)), x
+
+
 def test_digests_are_free_of_order_and_partitions(spark):
     rows = [(i % 50, random.Random(i).choice(["x", "", None, "1:x"])) for i in range(300)]
     frame = spark.createDataFrame(rows, "a int, b string")
