@@ -231,10 +231,11 @@ def build(repo: str, index: DataFrame, parsed: DataFrame, metadata: DataFrame, r
 
 def affected(changed: DataFrame, *parsed_and_index: tuple[DataFrame, DataFrame]) -> DataFrame:
     """path of the ``changed`` files (path) and of those that import them, or may, in any of the given states."""
-    may = []
-    for parsed, index in parsed_and_index:
-        may += [code.python_targets(_imports(parsed)).select("path", "target"), code.script_targets(_scripts(index).select("path", "raw"))]
-    importers = _union(may).join(changed.select(F.col("path").alias("target")), "target", "left_semi").select("path")
+    # what the states have alike is looked at once
+    imports = _union([_imports(parsed) for parsed, _ in parsed_and_index]).distinct()
+    scripts = _union([_scripts(index).select("path", "raw") for _, index in parsed_and_index]).distinct()
+    may = code.python_targets(imports).select("path", "target").unionByName(code.script_targets(scripts))
+    importers = may.join(changed.select(F.col("path").alias("target")), "target", "left_semi").select("path")
     return changed.select("path").union(importers).distinct()
 
 
